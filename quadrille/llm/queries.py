@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact, mix, pack, quality
+from . import exact, mix, pack, quality, toxic
 
 QUERIES = {
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op6_toxicity": toxic.op6_toxicity,
     "op7_mix_sources": mix.op7_mix_sources,
     "op9_pack_harmonic": pack.op9_pack_harmonic,
     "op10_quality_rules": quality.op10_quality_rules,
