@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact, mix, pack, quality, toxic
+from . import exact, mix, pack, quality, secrets, toxic
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op6_toxicity": toxic.op6_toxicity,
     "op7_mix_sources": mix.op7_mix_sources,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_secret_scan": secrets.sql(),
     "op2_exact_dedup": exact.SQL,
     "op7_mix_sources": mix.SQL,
     "op10_quality_rules": quality.sql(),
