@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, mix, pack, quality, secrets, toxic
+from . import exact, mix, near, pack, quality, secrets, toxic
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op4_near_dedup": near.op4_near_dedup,
     "op6_toxicity": toxic.op6_toxicity,
     "op7_mix_sources": mix.op7_mix_sources,
     "op9_pack_harmonic": pack.op9_pack_harmonic,
