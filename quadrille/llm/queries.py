@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact, mix, near, pack, quality, secrets, toxic
+from . import exact, lines, mix, near, pack, quality, secrets, suffix, toxic
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op3_suffix_dedup": suffix.op3_suffix_dedup,
     "op4_near_dedup": near.op4_near_dedup,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_toxicity": toxic.op6_toxicity,
     "op7_mix_sources": mix.op7_mix_sources,
     "op9_pack_harmonic": pack.op9_pack_harmonic,
@@ -17,6 +19,7 @@ QUERIES = {
 SQL = {
     "op1_secret_scan": secrets.sql(),
     "op2_exact_dedup": exact.SQL,
+    "op5_line_dedup": lines.SQL,
     "op7_mix_sources": mix.SQL,
     "op10_quality_rules": quality.sql(),
 }
