@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mix, near, pack, quality, secrets, suffix, toxic
+from . import exact, lines, mix, near, pack, quality, secrets, suffix, tokens, toxic
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_toxicity": toxic.op6_toxicity,
     "op7_mix_sources": mix.op7_mix_sources,
+    "op8_token_counts": tokens.op8_token_counts,
     "op9_pack_harmonic": pack.op9_pack_harmonic,
     "op10_quality_rules": quality.op10_quality_rules,
 }
