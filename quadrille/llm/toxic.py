@@ -24,6 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -285,6 +286,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text")).mapInArrow(worker, SCHEMA)
 
 
+def keep(docs: DataFrame, model: Model, most: float, text_col: str = "text") -> DataFrame:
+    """The rows scored under `most`, with all their columns. The score is a column computed beside them: no join, no shuffle."""
+
+    @F.pandas_udf("double")
+    def scores(text: pd.Series) -> pd.Series:
+        column = pc.utf8_lower(pa.array(text, pa.large_string()))
+        out = []
+        for _, _, w in chunks(column, inside=IS_LETTER):
+            token, p = marginals(model, w)
+            x = _summary(len(w.offsets) - 1, np.searchsorted(w.first, token, side="right") - 1, p)
+            out.append(1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30))))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return docs.where(scores(body(text_col)) < most)
+
+
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = score(docs, train(docs, table(spark, sf_dir, "labels")))
