@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import boards
+from .queries import boards, games, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {**boards.QUERIES}
+_ALL = {**boards.QUERIES, **games.QUERIES, **tables.QUERIES}
 
 
 def queries() -> dict[str, Query]:

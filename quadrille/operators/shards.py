@@ -6,7 +6,7 @@ modulo 2**k. A number's shard is its low bits after the permutation, its place i
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boards import lit
@@ -14,32 +14,41 @@ from ..functions.boards import lit
 STEPS = (("xor", 7), ("add", 5), ("xor", 11), ("add", 3), ("xor", 9), ("add", 13))
 
 
-def permute(x: Column, bits: int, steps=STEPS) -> Column:
-    """A permutation of 0 .. 2**bits - 1. The shifted term is masked before the shift and the sum after it, so nothing overflows."""
-    mask = lit((1 << bits) - 1)
+def with_permuted(df: DataFrame, x: str, name: str, bits: int, steps=STEPS) -> DataFrame:
+    """Adds `name`, a permutation of 0 .. 2**bits - 1 applied to column x.
+
+    A step names its input twice, so each is a projection of its own and expressions don't multiply.
+    The shifted term is masked before the shift and the sum after it, so nothing overflows.
+    """
+    df, c = df.withColumn(name, F.col(x)), F.col(name)
     for kind, s in steps:
-        if kind == "xor":
-            x = x.bitwiseXOR(F.shiftright(x, s))
-        else:
-            x = (x + F.shiftleft(x.bitwiseAND(lit((1 << max(bits - s, 0)) - 1)), s)).bitwiseAND(mask)
-    return x
+        df = df.withColumn(name, _xor(c, s) if kind == "xor" else _add(c, s, bits))
+    return df
 
 
-def unpermute(x: Column, bits: int, steps=STEPS) -> Column:
+def with_unpermuted(df: DataFrame, x: str, name: str, bits: int, steps=STEPS) -> DataFrame:
     """The inverse: each step is undone by doubling its shift until it leaves the range."""
-    mask = lit((1 << bits) - 1)
+    df, c = df.withColumn(name, F.col(x)), F.col(name)
     for kind, s in reversed(steps):
-        if kind == "xor":
-            while s < bits:
-                x = x.bitwiseXOR(F.shiftright(x, s))
-                s *= 2
-        else:
-            x = (x - F.shiftleft(x.bitwiseAND(lit((1 << max(bits - s, 0)) - 1)), s)).bitwiseAND(mask)
+        if kind == "add":
+            df = df.withColumn(name, (c - _shifted(c, s, bits)).bitwiseAND(lit((1 << bits) - 1)))
+            s *= 2
+        while s < bits:
+            df = df.withColumn(name, _xor(c, s) if kind == "xor" else _add(c, s, bits))
             s *= 2
-            while s < bits:
-                x = (x + F.shiftleft(x.bitwiseAND(lit((1 << (bits - s)) - 1)), s)).bitwiseAND(mask)
-                s *= 2
-    return x
+    return df
+
+
+def _xor(c: Column, s: int) -> Column:
+    return c.bitwiseXOR(F.shiftright(c, s))
+
+
+def _shifted(c: Column, s: int, bits: int) -> Column:
+    return F.shiftleft(c.bitwiseAND(lit((1 << max(bits - s, 0)) - 1)), s)
+
+
+def _add(c: Column, s: int, bits: int) -> Column:
+    return (c + _shifted(c, s, bits)).bitwiseAND(lit((1 << bits) - 1))
 
 
 def shard_of(x: Column, shards: int) -> tuple[Column, Column]:

@@ -24,12 +24,11 @@ STATE = ["key", "us", "them"]
 
 def edges(level: DataFrame) -> DataFrame:
     """All moves of the positions (key, us, them): cell, turn (null if the stone decides), value for the mover if decided, else the child."""
-    placed = placements(level)
-    decided = placed.where(won(F.col("placed"))).select(*STATE, "cell", F.lit(None).cast("int").alias("turn"), lit(1).alias("value"), lit(None).alias("next_us"), lit(None).alias("next_them"))
-    turned = turns(placed.where(~won(F.col("placed"))))
-    mine, theirs = won(F.col("mine")), won(F.col("theirs"))
+    placed = placements(level).withColumn("five", won(F.col("placed")))
+    decided = placed.where("five").select(*STATE, "cell", F.lit(None).cast("int").alias("turn"), lit(1).alias("value"), F.lit(None).cast("long").alias("next_us"), F.lit(None).cast("long").alias("next_them"))
+    turned = turns(placed.where("NOT five")).withColumn("f", won(F.col("mine"))).withColumn("h", won(F.col("theirs")))
     full = F.col("mine").bitwiseOR(F.col("theirs")) == lit(g.FULL)
-    value = F.when(mine | theirs, mine.cast("long") - theirs.cast("long")).when(full, lit(0))
+    value = F.when(F.col("f") | F.col("h"), F.col("f").cast("long") - F.col("h").cast("long")).when(full, lit(0))
     turned = turned.withColumn("value", value)
     open_ = F.col("value").isNull()
     return decided.unionByName(turned.select(*STATE, "cell", "turn", "value", F.when(open_, F.col("theirs")).alias("next_us"), F.when(open_, F.col("mine")).alias("next_them")))
