@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,11 @@ END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-_CACHE_MOST = 400_000
+_CACHE_MOST = 300_000
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Byte-level vocabularies write a byte as a letter: printable ones as themselves, the others from U+0100 on, in order.
+_BYTE_LETTERS = [chr(x) if x in _PLAIN else chr(256 + sum(y not in _PLAIN for y in range(x))) for x in range(256)]
 
 
 def default_tokenizer() -> str:
@@ -52,12 +57,22 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encode = Tokenizer.from_file(path).encode
+        whole = Tokenizer.from_file(path)
+        self.encode, self.pieces = whole.encode, whole.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= _CACHE_MOST:
             self.clear()
-        found = np.array(self.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        # Letters and the marks behind them are tokens apart, and letters are read in lower case, so "Word," takes its ids from
+        # "word" and ",". Below U+0250 and without U+0130, lower case keeps length and no mark combines, so the model itself,
+        # which takes bytes as letters, gives the ids of a plain word.
+        word = chunk.rstrip(_MARKS)
+        if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+            low = word.lower()
+            letters = low if low.isascii() else "".join(_BYTE_LETTERS[x] for x in low.encode())
+            found = array("I", [x.id for x in self.pieces(letters)]).tobytes() + (self[chunk[len(word) :]] if len(word) < len(chunk) else b"")
+        else:
+            found = np.array(self.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = found
         return found
