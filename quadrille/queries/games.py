@@ -1,4 +1,4 @@
-"""Queries on sets of rotations and on exact values."""
+"""Queries on merged bits and on exact values."""
 
 from __future__ import annotations
 
@@ -6,56 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import boards as b
 from ..functions import geometry as g
-from ..functions import supers
 from ..plans.retrograde import solve
 from ..plans.tables import materialize
-from ..sources.positions import endgames, positions, table, write_names
+from ..sources.positions import endgames, table, write_names
 from . import sqltext as t
 
-_ALL_TURNS = [{a: c for q in range(4) for a, c in g.quarter_turn(q, k).items()} for k in range(4)]
-
-
-def win_rotations(df, side: str):
-    """Adds w0 to w3: the 256 rotations under which a side has five, as four longs.
-
-    The side's four turned forms are lanes of four longs; a rotation picks one form of each lane.
-    """
-    forms = df.select("*", *[b.moved(F.col(side), k).alias(f"__f{i}") for i, k in enumerate(_ALL_TURNS)])
-    lane = lambda q, i: F.col(f"__f{i}").bitwiseAND(b.lit(g.LANE[q]))
-    pairs = [(i, j) for j in range(4) for i in range(4)]
-    rows = forms.select(*df.columns, F.array(*[lane(2, i).bitwiseOR(lane(3, j)) for i, j in pairs]).alias("__highs"), F.array(*[lane(0, i).bitwiseOR(lane(1, j)) for i, j in pairs]).alias("__lows"))
-    rows = rows.select(*df.columns, "__lows", F.posexplode("__highs").alias("__hi", "__high"))
-    rows = rows.select(*df.columns, "__hi", "__high", F.posexplode("__lows").alias("__lo", "__low"))
-    rows = rows.withColumn("__side", F.col("__high").bitwiseOR(F.col("__low"))).withColumn("__five", b.won(F.col("__side"))).where("__five")
-    bit = F.call_function("shiftleft", b.lit(1), (F.col("__lo") + 16 * (F.col("__hi") % 4)).cast("int"))
-    word = lambda k: F.coalesce(F.bit_or(F.when(F.call_function("div", F.col("__hi"), F.lit(4)) == k, bit)), b.lit(0)).alias(f"w{k}")
-    return rows.groupBy(*df.columns).agg(*[word(k) for k in range(4)])
-
-
-def rotation_sets(spark, sf_dir):
-    """For each customer's position with a five somewhere: rotations where the first side has five, and those one turn away from one."""
-    p = positions(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("key", "s0").distinct()
-    w = win_rotations(p, "s0")
-    words = [F.col(f"w{k}") for k in range(4)]
-    near = supers.rmax(words)
-    return w.select("key", supers.popcount(words).alias("fives"), supers.popcount(near).alias("near"), supers.popcount([x.bitwiseAND(y) for x, y in zip(words, near, strict=True)]).alias("both"), *[F.bit_count(x).cast("long").alias(f"n{k}") for k, x in enumerate(near)])
-
-
-def _lane(q: int) -> str:
-    return "CASE r" + str(q) + " " + " ".join(f"WHEN {k} THEN {t.moved('s0', g.quarter_turn(q, k))} & {g.LANE[q]}" for k in range(4)) + " END"
-
-
-ROTATION_SETS = f"""WITH {t.positions("customer", "c_custkey")}, k AS (SELECT DISTINCT key, s0 FROM p),
-r AS (SELECT i, i & 3 AS r0, (i >> 2) & 3 AS r1, (i >> 4) & 3 AS r2, i >> 6 AS r3 FROM (SELECT unnest(range(256)) AS i)),
-w AS (SELECT key, i, r0, r1, r2, r3 FROM (SELECT key, r.*, ({_lane(0)}) | ({_lane(1)}) | ({_lane(2)}) | ({_lane(3)}) AS side FROM k, r) WHERE {t.won("side")}),
-e AS (SELECT a.i, b.i AS j FROM r a, r b WHERE CASE WHEN a.r0 = b.r0 THEN 0 WHEN (a.r0 - b.r0 + 4) % 4 = 2 THEN 9 ELSE 1 END + CASE WHEN a.r1 = b.r1 THEN 0 WHEN (a.r1 - b.r1 + 4) % 4 = 2 THEN 9 ELSE 1 END + CASE WHEN a.r2 = b.r2 THEN 0 WHEN (a.r2 - b.r2 + 4) % 4 = 2 THEN 9 ELSE 1 END + CASE WHEN a.r3 = b.r3 THEN 0 WHEN (a.r3 - b.r3 + 4) % 4 = 2 THEN 9 ELSE 1 END = 1),
-n AS (SELECT DISTINCT key, e.i FROM w JOIN e ON w.i = e.j),
-a AS (SELECT key, count(*) AS fives FROM w GROUP BY key),
-c AS (SELECT key, count(*) AS near, {", ".join(f"count(*) FILTER (i // 64 = {k}) AS n{k}" for k in range(4))} FROM n GROUP BY key),
-d AS (SELECT key, count(*) AS both FROM n JOIN w USING (key, i) GROUP BY key)
-SELECT key, fives, near, coalesce(both, 0) AS both, n0, n1, n2, n3 FROM a JOIN c USING (key) LEFT JOIN d USING (key)"""
-
-
 def or_accumulate(spark, sf_dir):
     """Bits that lines of an order contribute, merged by OR, AND and XOR: partial and final aggregation."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.call_function("shiftleft", b.lit(1), (F.col("l_partkey") % 62).cast("int")).alias("bit"))
@@ -122,7 +77,6 @@ def value_lookup(spark, sf_dir):
 VALUE_LOOKUP = f"""WITH {_ONE} SELECT key, {t.pack("us", "them")}::VARCHAR AS name, '{{"value":' || max(value) || ',"turns":[' || string_agg(value::VARCHAR, ',' ORDER BY coalesce(turn, -1)) || ']}}' AS answer FROM v GROUP BY key, us, them"""
 
 QUERIES = {
-    "rotation_sets": (rotation_sets, ROTATION_SETS),
     "or_accumulate": (or_accumulate, OR_ACCUMULATE),
     "retrograde_two": (retrograde_two, RETROGRADE_TWO),
     "retrograde_three": (retrograde_three, None),
