@@ -8,15 +8,18 @@ A candidate pair is verified by alignment of its two shingle sequences inside a
 the shared shingles that are no further apart than the similarity allows, the longest
 chain rising in both texts counts, and chain / (all - chain) must reach `least`.
 
-Classes are the connected components of the verified links:
+Classes are the connected components of the verified links. No step compares all pairs of
+a large group; its work is proportional to the group's rows:
 1. Equal texts are one node, so copies meet no alignment at all.
-2. Each bucket's nodes are aligned with its smallest node, and in a second round with
-   the smallest node of another component that is still apart from theirs.
-3. The pairs that are left, of one bucket but two components, are all aligned. In a
-   bucket of more than `small` nodes a pair must agree on a second order as well, which
-   texts of similarity 0.8 miss about once in ten thousand times.
-So a bucket whose nodes are connected costs one alignment a node, and no all-pairs step
-runs inside a group of copies.
+2. Each bucket's nodes are aligned with one leader, the node that shares most buckets.
+   Nodes linked to it are connected.
+3. Two texts that are similar, one of which isn't linked to a leader, share shingles that
+   the leader lacks. So an alignment also returns the node's `rest`, the smallest (by hash)
+   of its shingles that the leader lacks, as many as `miss` asks for, and nodes that share one of them, under the
+   same leader, form new groups, with leaders of their own. Groups whose nodes are all linked
+   are done. This goes on until no group has a pair that wasn't aligned before.
+A frequent passage puts many texts in a bucket, but they share nothing beside it, so
+their rests part them at once.
 
 Texts are shuffled once, to keep those that share a bucket; aligned pairs read only these.
 
@@ -32,7 +35,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, materialize, table
@@ -121,24 +124,60 @@ def sketch(docs: DataFrame, sketches: int, length: int, id_col: str, text_col: s
     return rows.mapInArrow(worker, "doc_id long, digest binary, size long, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The links (a, b, similarity) among pairs (a, b)."""
+def lacking(leader: np.ndarray, node: np.ndarray, least: float, miss: float) -> np.ndarray:
+    """The smallest of the node's shingles that the leader lacks, as many as a similar text needs to share one of them.
+
+    A text of the same length and of similarity `least` lacks at most (1 - least) / (1 + least) of the node's
+    shingles, so of those that the leader lacks it shares a part of known least size; the more, the fewer are kept.
+    Where that part may be nil, all are kept. `miss` is the chance, under one leader, that two such texts share none that is kept; similar texts share buckets with several leaders.
+    """
+    rest = np.sort(np.setdiff1d(node, leader, assume_unique=True))
+    part = 1 - (1 - least) / (1 + least) * len(node) / max(len(rest), 1)
+    if part <= 0:
+        return rest
+    alike = part / (2 - part)
+    return rest[: int(np.ceil(np.log(miss) / np.log(1 - alike)))] if alike < 1 else rest[:1]
+
+
+def align(pairs: DataFrame, texts: DataFrame, least: float, miss: float) -> DataFrame:
+    """Pairs (leader, node, onward) with linked, and rest: the node's smallest shingles that the leader lacks."""
 
     def worker(batches):
         for batch in batches:
             sides = []
-            for c in (2, 3):
+            for c in (3, 4):
                 parts = []
                 for _, _, w in chunks(batch.column(c)):
                     labels, begin = labelled(w)
                     parts += np.split(labels, begin[1:-1])
                 sides.append(parts)
-            got = np.array([similarity(x, y, least) for x, y in zip(*sides, strict=True)], float)
-            hit = pa.array(np.flatnonzero(got >= least))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit), pa.array(got[got >= least], pa.float64())], names=["a", "b", "similarity"])
-
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(worker, "a long, b long, similarity double")
+            linked = [similarity(x, y, least) >= least for x, y in zip(*sides, strict=True)]
+            rest = [lacking(x, y, least, miss).view(np.int64) for x, y in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["leader", "node", "onward", "linked", "rest"])
+
+    # Both sides rename the same columns, so Spark shuffles the texts once and uses that exchange twice.
+    one, two = texts.select(F.col("node").alias("n1"), F.col("text").alias("x")), texts.select(F.col("node").alias("n2"), F.col("text").alias("y"))
+    both = pairs.join(one, F.col("leader") == F.col("n1")).join(two, F.col("node") == F.col("n2"))
+    return both.select("leader", "node", "onward", "x", "y").mapInArrow(worker, "leader long, node long, onward boolean, linked boolean, rest array<long>")
+
+
+def candidates(groups: DataFrame, small: int) -> DataFrame:
+    """Pairs (leader, node, onward) from rows (g1, g2, node, linked). Two linked nodes need no pair.
+
+    A group of up to `small` nodes gives its pairs, small - 1 a node at most, and is done. A larger one gives
+    a pair for each node, with the leader that shares most groups under g1; these go onward.
+    """
+    sizes = groups.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("done")).where("n > 1 AND NOT done")
+    rows = groups.join(sizes, ["g1", "g2"])
+    lists = rows.where(F.col("n") <= small).groupBy("g1", "g2").agg(F.sort_array(F.collect_list(F.struct("node", "linked"))).alias("all"))
+    each = lists.select(F.inline(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter("all", lambda y, j: (j > i) & ~(x["linked"] & y["linked"])), lambda y: F.struct(x["node"].alias("leader"), y["node"].alias("node")))))))
+    rows = rows.where(F.col("n") > small)
+    weight = rows.groupBy("g1", "node").agg(F.sum("n").alias("w"))
+    rows = rows.join(weight, ["g1", "node"])
+    first = rows.groupBy("g1", "g2").agg(F.max(F.struct("w", (-F.col("node")).alias("back"), "linked")).alias("top"))
+    star = rows.join(first, ["g1", "g2"]).where("node <> -top.back AND NOT (linked AND top.linked)").select((-F.col("top.back")).alias("leader"), "node")
+    both = each.withColumn("onward", F.lit(False)).unionByName(star.withColumn("onward", F.lit(True)))
+    return both.groupBy("leader", "node").agg(F.max("onward").alias("onward"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,54 +194,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, least: float = 0.8, sketches: int = 16, length: int = 3, small: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8, sketches: int = 16, length: int = 3, miss: float = 1e-5, small: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept."""
-    table_ = materialize(sketch(docs, sketches, length, id_col, text_col), "near-sketches")
-    copies = table_.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    member = materialize(table_.select("doc_id", "digest").distinct().join(copies, "digest").select("doc_id", "node"), "near-members")
-    nodes = table_.join(copies, "digest").where("doc_id = node AND size > 0").select("node", "size", "keys")
-    rows = nodes.select("node", "size", F.posexplode("keys").alias("band", "key")).distinct()
-    shared = rows.groupBy("band", "key").agg(F.min("node").alias("low"), F.count_distinct("node").alias("n")).where("n > 1")
-    buckets = materialize(rows.join(shared, ["band", "key"]), "near-buckets")
+    found = materialize(sketch(docs, sketches, length, id_col, text_col), "near-sketches")
+    copies = found.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    member = materialize(found.join(copies, "digest").select("doc_id", "node", "size", "keys"), "near-members")
+    rows = member.where("doc_id = node AND size > 0").select("node", F.posexplode("keys").alias("band", "key")).distinct()
+    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
+    buckets = materialize(rows.join(shared, ["band", "key"]).select("band", "key", "node"), "near-buckets")
     wanted = buckets.select(F.col("node").alias("id")).distinct()
     texts = materialize(docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text")).join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), "near-texts")
-    sizes = buckets.select(F.col("node").alias("__n"), F.col("size").alias("s"), "band", "key")
-
-    def fits(pairs: DataFrame) -> DataFrame:
-        return pairs.where((F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb"))).select("a", "b").distinct()
-
-    star = buckets.where("node > low").join(sizes.select(F.col("__n").alias("low"), F.col("s").alias("sa"), "band", "key"), ["band", "key", "low"])
-    tried = materialize(fits(star.select(F.col("low").alias("a"), F.col("node").alias("b"), "sa", F.col("size").alias("sb"))), "near-pairs")
-    links = materialize(verify(tried, texts, least), "near-links")
-
-    def apart() -> DataFrame:
-        """Rows of the buckets whose nodes are in more than one component, with their components."""
-        now = buckets.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = now.groupBy("band", "key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("here")).where("c1 <> c2")
-        return materialize(now.drop("low", "n").join(split, ["band", "key"]), "near-apart")
-
-    rest = apart()
-    heads = rest.groupBy("band", "key", "comp").agg(F.min(F.struct("node", "size")).alias("head"))
-    line = Window.partitionBy("band", "key").orderBy("comp")
-    heads = heads.withColumn("other", F.coalesce(F.lag("head").over(line), F.lead("head").over(line)))
-    second = rest.join(heads, ["band", "key", "comp"]).select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"), F.col("size").alias("sa"), F.col("other.size").alias("sb"))
-    new = materialize(fits(second).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    tried = tried.unionByName(new)
-    links = materialize(links.unionByName(verify(new, texts, least)), "near-links")
-
-    rest = apart()
-    few = rest.where(F.col("here") <= small).select("band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"), "node", "size", "comp")
-    many = rest.where(F.col("here") > small).select("band", "key", "node", "size", "comp")
-    again = buckets.select("node", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    many = many.join(again, "node").where("band < band2 OR band > band2").select("band", "key", "band2", "key2", "node", "size", "comp")
-    left = few.unionByName(many)
-    on = ["band", "key", "band2", "key2"]
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, on).where("x.node < y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb"))
-    new = materialize(fits(cross).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    links = links.unionByName(verify(new, texts, least))
-
-    of = member.join(components(links), "node", "left").select("doc_id", F.coalesce("comp", "node").alias("class_id"))
+
+    # In the first round a group is a bucket, and leaders are weighed over all orders.
+    groups = buckets.select(F.lit(0).cast("long").alias("g1"), F.struct("band", "key").alias("g2"), "node", F.lit(False).alias("linked"))
+    done = None
+    while True:
+        pairs = candidates(groups, small)
+        small *= 4  # so the rounds are few, whatever the largest group
+        pairs = materialize(pairs if done is None else pairs.join(done, ["leader", "node"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            break
+        new = materialize(align(pairs, texts, least, miss), "near-aligned")
+        done = new.select("leader", "node", "linked") if done is None else done.unionByName(new.select("leader", "node", "linked"))
+        groups = new.where("onward").select(F.col("leader").alias("g1"), F.explode("rest").alias("g2"), "node", "linked")
+    links = done.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")) if done is not None else None
+
+    member = member.select("doc_id", "node")
+    joined = member.withColumn("comp", F.col("node")) if links is None else member.join(components(links), "node", "left")
+    of = joined.select("doc_id", F.coalesce("comp", "node").alias("class_id"))
     of = of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     found = ids.join(of, "doc_id", "left")
