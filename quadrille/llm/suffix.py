@@ -22,8 +22,8 @@ earlier document, or an earlier place of the same one, holds too; the first occu
 without ASCII white space and compared byte for byte.
 
 Defined results: null and empty texts and texts under `least` words have no repeats; rows with a null id
-are left out; rows that share an id are read as one document each and may be compared with
-each other's copies; an empty table gives an empty result; extra columns are ignored.
+are left out; rows that repeat id and text are one document, and rows that share an id with
+other texts are compared like places of one document; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def neighbours(found: DataFrame, salts: int) -> DataFrame:
     alike = near.where("w_doc_id IS NOT NULL AND w_wide = wide AND NOT (w_doc_id = of AND w_pos = at)").select("doc_id", "pos", F.col("w_doc_id").alias("of"), F.col("w_pos").alias("at"))
     heads = near.where("of IS NULL").select("doc_id", "pos", "head")
     across = heads.select("doc_id", "pos", *of(Window.partitionBy("head").orderBy(*order))).where("of IS NOT NULL")
-    return inside.unionByName(alike).unionByName(across)
+    return inside.unionByName(alike).unionByName(across).where("NOT (doc_id = of AND pos = at)")  # a row read twice is no repeat
 
 
 def extend(a: list[bytes], b: list[bytes], anchors: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -104,7 +104,9 @@ def repeats(docs: DataFrame, least: int = 50, window: int = 24, gram: int = 8, s
     pairs = neighbours(suffixes(docs, least, window, gram, id_col, text_col), salts)
     links = pairs.groupBy("doc_id", "of").agg(F.collect_set(F.struct("pos", "at")).alias("anchors"))  # bounded by the document's own length
     texts = docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text")).where("id IS NOT NULL")
-    both = links.join(texts.select(F.col("id").alias("of"), F.col("text").alias("other")), "of").join(texts.select(F.col("id").alias("doc_id"), "text"), "doc_id")
+    # Both sides rename the same columns, so Spark shuffles the texts once and uses that exchange twice.
+    a, b = texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
+    both = links.join(a, F.col("of") == F.col("id_a")).join(b, F.col("doc_id") == F.col("id_b"))
     one = pa.struct([("f", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(one))])
 
@@ -122,7 +124,7 @@ def repeats(docs: DataFrame, least: int = 50, window: int = 24, gram: int = 8, s
                     rows.append({"doc_id": doc, "of": of, "n_words": len(b), "spans": [{"f": x, "t": y, "start": int(before[w.start[x]]), "end": int(before[w.end[y - 1]])} for x, y in spans]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    found = both.select("doc_id", "of", "anchors", "other", "text").mapInArrow(worker, "doc_id long, of long, n_words long, spans array<struct<f:long,t:long,start:long,end:long>>")
+    found = both.select("doc_id", "of", "anchors", "text_a", "text_b").mapInArrow(worker, "doc_id long, of long, n_words long, spans array<struct<f:long,t:long,start:long,end:long>>")
     return merged(found)
 
 
