@@ -13,11 +13,14 @@ a large group; its work is proportional to the group's rows:
 1. Equal texts are one node, so copies meet no alignment at all.
 2. Each bucket's nodes are aligned with one leader, the node that shares most buckets.
    Nodes linked to it are connected.
-3. Two texts that are similar, one of which isn't linked to a leader, share shingles that
-   the leader lacks. So an alignment also returns the node's `rest`, the smallest (by hash)
-   of its shingles that the leader lacks, as many as `miss` asks for, and nodes that share one of them, under the
-   same leader, form new groups, with leaders of their own. Groups whose nodes are all linked
-   are done. This goes on until no group has a pair that wasn't aligned before.
+3. Of two texts that are similar, one of which isn't linked to a leader, both differ from the
+   leader in a shingle in the same way: both have it and the leader lacks it, or both lack it
+   and the leader has it. So an alignment also returns the node's `rest`, shingles that the
+   leader lacks, and, where a similar text may share none of those (nested and shortened texts),
+   its `gaps`, shingles of the leader that it lacks; of each those that hash lowest, as many as
+   `miss` asks for. Nodes that share one, under the same leader, form new groups, with leaders of
+   their own. Groups whose nodes are all linked are done. This goes on until no group has a pair
+   that wasn't aligned before.
 A frequent passage puts many texts in a bucket, but they share nothing beside it, so
 their rests part them at once.
 
@@ -124,23 +127,31 @@ def sketch(docs: DataFrame, sketches: int, length: int, id_col: str, text_col: s
     return rows.mapInArrow(worker, "doc_id long, digest binary, size long, keys array<long>")
 
 
-def lacking(leader: np.ndarray, node: np.ndarray, least: float, miss: float) -> np.ndarray:
-    """The smallest of the node's shingles that the leader lacks, as many as a similar text needs to share one of them.
+def lacking(leader: np.ndarray, node: np.ndarray, linked: bool, least: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """The node's shingles that the leader lacks, and the leader's that it lacks, of each as many as a similar text needs to share one.
 
-    A text of the same length and of similarity `least` lacks at most (1 - least) / (1 + least) of the node's
-    shingles, so of those that the leader lacks it shares a part of known least size; the more, the fewer are kept.
-    Where that part may be nil, all are kept. `miss` is the chance, under one leader, that two such texts share none that is kept; similar texts share buckets with several leaders.
+    A similar text of any length lacks at most 1 - least of the node's shingles, so of those that the leader lacks it
+    shares all but that many, at least. Where that may be none, all are kept, and the leader's shingles that the node lacks
+    count too. With a = node - leader, d = all that differs, and one of both texts not linked, the texts share in d
+    at least (d - (1 - least) a) / 2 if the node is linked, and d - (1 / least - 1) node if it isn't.
+    Kept are hashes below a bound that leaves none of so many with chance `miss`; the higher bound of two texts keeps what the lower one does.
+    (The shares are those of sets: a text that has the leader's shingles in another order may share fewer.)
     """
-    rest = np.sort(np.setdiff1d(node, leader, assume_unique=True))
-    part = 1 - (1 - least) / (1 + least) * len(node) / max(len(rest), 1)
-    if part <= 0:
-        return rest
-    alike = part / (2 - part)
-    return rest[: int(np.ceil(np.log(miss) / np.log(1 - alike)))] if alike < 1 else rest[:1]
+
+    def lowest(x: np.ndarray, shared: float) -> np.ndarray:
+        return x if shared < 1 else x[mixed(x ^ U(0x94D049BB133111EB)) <= U(int((1 - miss ** (1 / shared)) * (2**64 - 1025)))]
+
+    rest = np.setdiff1d(node, leader, assume_unique=True)
+    shared = len(rest) - (1 - least) * len(node)
+    if shared >= 1:
+        return lowest(rest, shared), rest[:0]
+    gaps = np.setdiff1d(leader, node, assume_unique=True)
+    differ = len(rest) + len(gaps)
+    return rest, lowest(gaps, (differ - (1 - least) * len(rest)) / 2 if linked else differ - (1 / least - 1) * len(node))
 
 
 def align(pairs: DataFrame, texts: DataFrame, least: float, miss: float) -> DataFrame:
-    """Pairs (leader, node, onward) with linked, and rest: the node's smallest shingles that the leader lacks."""
+    """Pairs (leader, node, onward) with linked, and rest and gaps: what the leader and the node lack of each other."""
 
     def worker(batches):
         for batch in batches:
@@ -152,13 +163,14 @@ def align(pairs: DataFrame, texts: DataFrame, least: float, miss: float) -> Data
                     parts += np.split(labels, begin[1:-1])
                 sides.append(parts)
             linked = [similarity(x, y, least) >= least for x, y in zip(*sides, strict=True)]
-            rest = [lacking(x, y, least, miss).view(np.int64) for x, y in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["leader", "node", "onward", "linked", "rest"])
+            found = [lacking(x, y, z, least, miss) for x, y, z in zip(*sides, linked, strict=True)]
+            rest, gaps = (pa.array([f[k].view(np.int64) for f in found], pa.list_(pa.int64())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_()), rest, gaps], names=["leader", "node", "onward", "linked", "rest", "gaps"])
 
     # Both sides rename the same columns, so Spark shuffles the texts once and uses that exchange twice.
     one, two = texts.select(F.col("node").alias("n1"), F.col("text").alias("x")), texts.select(F.col("node").alias("n2"), F.col("text").alias("y"))
     both = pairs.join(one, F.col("leader") == F.col("n1")).join(two, F.col("node") == F.col("n2"))
-    return both.select("leader", "node", "onward", "x", "y").mapInArrow(worker, "leader long, node long, onward boolean, linked boolean, rest array<long>")
+    return both.select("leader", "node", "onward", "x", "y").mapInArrow(worker, "leader long, node long, onward boolean, linked boolean, rest array<long>, gaps array<long>")
 
 
 def candidates(groups: DataFrame, small: int) -> DataFrame:
@@ -180,6 +192,15 @@ def candidates(groups: DataFrame, small: int) -> DataFrame:
     return both.groupBy("leader", "node").agg(F.max("onward").alias("onward"))
 
 
+def differing(rows: DataFrame) -> DataFrame:
+    """Groups (g1, g2, node, linked) of aligned rows: under each leader with a node that isn't linked, those that share a shingle of rest or of gaps."""
+    far = rows.where("NOT linked").groupBy("leader").agg(F.max(F.size("gaps") > 0).alias("near"))
+    kept = rows.join(far, "leader")
+    of = lambda c, kind: kept.select(F.col("leader").alias("g1"), F.lit(kind).alias("kind"), F.explode(c).alias("key"), "node", "linked")
+    both = of("rest", 0).unionByName(of(F.when(F.col("near"), F.col("gaps")), 1))
+    return both.select("g1", F.struct("kind", "key").alias("g2"), "node", "linked")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node of its component) for all nodes with a link: smallest labels spread and jump until none changes."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
@@ -216,7 +237,7 @@ def classes(docs: DataFrame, least: float = 0.8, sketches: int = 16, length: int
             break
         new = materialize(align(pairs, texts, least, miss), "near-aligned")
         done = new.select("leader", "node", "linked") if done is None else done.unionByName(new.select("leader", "node", "linked"))
-        groups = new.where("onward").select(F.col("leader").alias("g1"), F.explode("rest").alias("g2"), "node", "linked")
+        groups = differing(new.where("onward"))
     links = done.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")) if done is not None else None
 
     member = member.select("doc_id", "node")
