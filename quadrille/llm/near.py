@@ -19,8 +19,9 @@ a large group; its work is proportional to the group's rows:
    leader lacks, and, where a similar text may share none of those (nested and shortened texts),
    its `gaps`, shingles of the leader that it lacks; of each those that hash lowest, as many as
    `miss` asks for. Nodes that share one, under the same leader, form new groups, with leaders of
-   their own. Groups whose nodes are all linked are done. This goes on until no group has a pair
-   that wasn't aligned before.
+   their own. Groups whose nodes are all linked are done. A pair is aligned once, but what came of
+   it is stored, and a leader's next groups hold all nodes that it was ever aligned with. This
+   goes on until no leader gets a node that its groups didn't hold before.
 A frequent passage puts many texts in a bucket, but they share nothing beside it, so
 their rests part them at once.
 
@@ -228,20 +229,25 @@ def classes(docs: DataFrame, least: float = 0.8, sketches: int = 16, length: int
 
     # In the first round a group is a bucket, and leaders are weighed over all orders.
     groups = buckets.select(F.lit(0).cast("long").alias("g1"), F.struct("band", "key").alias("g2"), "node", F.lit(False).alias("linked"))
-    done = None
+    done = spread = None
     while True:
-        pairs = candidates(groups, small)
+        pairs = materialize(candidates(groups, small), "near-pairs")
         small *= 4  # so the rounds are few, whatever the largest group
-        pairs = materialize(pairs if done is None else pairs.join(done, ["leader", "node"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
+        # Only the alignment of a pair is done once; its node still goes into the next groups of its leader.
+        new = materialize(align(pairs if done is None else pairs.join(done, ["leader", "node"], "left_anti"), texts, least, miss), "near-aligned")
+        done = new if done is None else done.unionByName(new)
+        onward = pairs.where("onward").select("leader", "node")
+        active = materialize((onward if spread is None else onward.join(spread, ["leader", "node"], "left_anti")).select("leader").distinct(), "near-active")
+        if active.isEmpty():
             break
-        new = materialize(align(pairs, texts, least, miss), "near-aligned")
-        done = new.select("leader", "node", "linked") if done is None else done.unionByName(new.select("leader", "node", "linked"))
-        groups = differing(new.where("onward"))
-    links = done.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")) if done is not None else None
+        rows = done.join(active, "leader", "left_semi")
+        now = materialize(rows.select("leader", "node"), "near-spread")
+        spread = now if spread is None else spread.unionByName(now)
+        groups = differing(rows)
+    links = done.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
     member = member.select("doc_id", "node")
-    joined = member.withColumn("comp", F.col("node")) if links is None else member.join(components(links), "node", "left")
+    joined = member.join(components(links), "node", "left")
     of = joined.select("doc_id", F.coalesce("comp", "node").alias("class_id"))
     of = of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
