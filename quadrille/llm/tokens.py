@@ -9,7 +9,11 @@ count of tokens, and a text's count is the sum over its pre-tokens.
 
 Scores are those of Zipf's law by place in the vocabulary, -ln(place + 1); a byte that no
 piece covers is one token at `byte_score`. Of equal scores, the split with fewer tokens counts.
-A pre-token of more than `longest` bytes is cut into stretches of that length first.
+A pre-token of more than 256 bytes stays outside the trie: its scores are computed byte by
+byte, in stretches that carry on the scores of as many bytes as the longest piece has, so its
+split is the best one too. That is what the query counts. `count_tokens` does so with
+`longest=None`; by default it cuts pre-tokens into stretches of `longest` bytes first and sums
+their counts, which isn't the best split of a longer one.
 
 The vocabulary is a public file whose path is a parameter; nothing is trained. Texts are
 read once, there is no shuffle, and a task's memory depends on a few MB of text only.
@@ -63,6 +67,8 @@ class Vocabulary:
             self.by_length[n] = (np.array(hashes, U)[order], np.array(scores)[order])
 
 
+#: Bytes of the longest pre-token that goes into the trie.
+TRIE = 256
 _KNOWN: dict[tuple[str, float], Vocabulary] = {}
 
 
@@ -132,7 +138,41 @@ def counts_of(pre: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None, byte_score: float = -20.0, longest: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def long_count(word: bytes, vocabulary: Vocabulary, stretch: int = 1 << 16) -> int:
+    """Tokens of one pre-token of any length; memory depends on `stretch` bytes."""
+    most, data = max(vocabulary.by_length), np.frombuffer(word, np.uint8)
+    scores, counts = [0.0], [0]  # after the bytes from base to low
+    for low in range(0, len(data), stretch):
+        base = low - len(scores) + 1
+        part = data[base : low + stretch].astype(U) + U(1)
+        up, down = powers(_BASE, len(part) + 1)
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(part * down[: len(part)], dtype=U)])
+        ends, sizes, gains = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for m, (keys, values) in vocabulary.by_length.items():
+            end = np.arange(max(m, low - base + 1), len(part) + 1)
+            tail = (sums[end] - sums[end - m]) * up[end - 1]
+            at = np.minimum(np.searchsorted(keys, tail), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == tail)
+            ends.append(end[hit])
+            sizes.append(np.full(len(hit), m))
+            gains.append(values[at[hit]])
+        end = np.concatenate(ends)
+        order = np.argsort(end, kind="stable")
+        first = np.searchsorted(end[order], np.arange(len(part) + 2)).tolist()
+        size, gain = np.concatenate(sizes)[order].tolist(), np.concatenate(gains)[order].tolist()
+        for e in range(low - base + 1, len(part) + 1):
+            best, count = scores[e - 1] + vocabulary.byte_score, counts[e - 1] + 1
+            for k in range(first[e], first[e + 1]):
+                s, c = scores[e - size[k]] + gain[k], counts[e - size[k]] + 1
+                if s > best or (s == best and c < count):
+                    best, count = s, c
+            scores.append(best)
+            counts.append(count)
+        scores, counts = scores[-most - 1 :], counts[-most - 1 :]
+    return counts[-1]
+
+
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, byte_score: float = -20.0, longest: int | None = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_pretokens, n_tokens."""
     path = vocabulary or default_vocabulary()
 
@@ -144,11 +184,11 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, byte_score: flo
                 _, at, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
                 data = w.data.tobytes()
                 pre = [MARK + data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-                cut = [x for x in pre if len(x) > longest]
-                pieces = {y for x in cut for y in (x[i : i + longest] for i in range(0, len(x), longest))}
-                plain = sorted({x for x in pre if len(x) <= longest} | pieces)
-                got = dict(zip(plain, counts_of(plain, known).tolist(), strict=True))
-                each = np.array([got[x] if len(x) <= longest else sum(got[x[i : i + longest]] for i in range(0, len(x), longest)) for x in pre], np.int64)
+                cuts = [[x] if longest is None else [x[i : i + longest] for i in range(0, len(x), longest)] for x in pre]
+                parts = {y for x in cuts for y in x}
+                plain = sorted(x for x in parts if len(x) <= TRIE)
+                got = dict(zip(plain, counts_of(plain, known).tolist(), strict=True)) | {x: long_count(x, known) for x in parts if len(x) > TRIE}
+                each = np.array([sum(got[y] for y in x) for x in cuts], np.int64)
                 sums = np.concatenate([[0], np.cumsum(each[which])]) if len(at) else np.zeros(1, np.int64)
                 words.append(np.diff(w.first))
                 tokens.append(sums[w.first[1:]] - sums[w.first[:-1]])
@@ -160,4 +200,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, byte_score: flo
 
 
 def op8_token_counts(spark, sf_dir):
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(table(spark, sf_dir, "documents"), longest=None)

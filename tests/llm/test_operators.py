@@ -276,6 +276,29 @@ def test_tokens(docs, rows, empty):
     assert collections.Counter(map(tuple, tokens.count_tokens(docs).collect())) == want and tokens.count_tokens(empty).count() == 0
 
 
+def test_tokens_of_long_words_are_not_cut(spark, tmp_path):
+    known = tokens.Vocabulary(tokens.default_vocabulary())
+    most = max(map(len, known.pieces))
+
+    def count(x):
+        best = [(0.0, 0)]
+        for e in range(1, len(x) + 1):
+            options = [(best[e - 1][0] + known.byte_score, best[e - 1][1] - 1)]
+            options += [(best[e - m][0] + known.pieces[x[e - m : e]], best[e - m][1] - 1) for m in range(1, min(most, e) + 1) if x[e - m : e] in known.pieces]
+            best.append(max(options))
+        return -best[-1][1]
+
+    rng = np.random.default_rng(3)
+    pieces = sorted(p for p in known.pieces if b"".join(p.split()) == p)
+    texts = ["".join(pieces[i].decode() for i in rng.integers(0, len(pieces), 200)).replace("▁", "") for _ in range(6)]
+    texts += ["中文句子没有空格" * 40 + "日本語の文章", "https://example.org/" + "path/to/page" * 60, "é" * 300]
+    want = [count(tokens.MARK + t.encode()) for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in tokens.op8_token_counts(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(tokens.long_count(tokens.MARK + t.encode(), known, stretch) == n for t, n in zip(texts, want, strict=True) for stretch in (7, 100, 1 << 16))
+
+
 def test_pack(docs, rows, empty):
     from tokenizers import Tokenizer
 
