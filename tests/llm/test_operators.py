@@ -146,41 +146,6 @@ def test_near_large_groups_go_by_leaders(spark):
     assert close >= 70 and len(got) == 80
 
 
-def fixed_buckets(monkeypatch, keys):
-    """near.classes on texts whose buckets are given: doc_id to the keys of each order."""
-    monkeypatch.setattr(near, "sketch", lambda docs, *_: docs.sparkSession.createDataFrame([(d, str(d).encode(), 1, k) for d, k in keys.items()], "doc_id long, digest binary, size long, keys array<long>"))
-
-
-def test_near_nested_copies_meet_in_a_large_group(spark, monkeypatch):
-    rng = np.random.default_rng(11)
-    out = {}
-    for f in range(4):
-        whole = [f"f{f}n{i}" for i in rng.permutation(1000)]
-        out[10 * f] = whole
-        out[10 * f + 1], out[10 * f + 2] = whole[:830], whole[:680]  # linked to the whole, and linked to that only
-        out[10 * f + 3], out[10 * f + 4] = whole[:500], whole[600:]  # linked to none
-    fixed_buckets(monkeypatch, {d: [d // 10] for d in out})
-    got = {r.doc_id: r.class_id for r in near.classes(spark.createDataFrame([(d, " ".join(w)) for d, w in out.items()], "doc_id long, text string"), small=2).collect()}
-    assert got == {d: d - d % 10 if d % 10 < 3 else d for d in out}
-
-
-def test_near_keeps_nodes_that_met_their_leader_before(spark, monkeypatch):
-    # All meet under 0, then under 1, which met 2 before in a small bucket; 2 and 3 are linked and share 6, which 1 lacks.
-    keys = {d: [1, -1 - d, -100 - d] for d in range(16)}
-    keys[1][1] = keys[2][1] = 7
-    keys[0][2] = keys[15][2] = 8  # makes 0 the first leader
-
-    def align(pairs, *_):
-        rest = {(1, 2): [6], (1, 3): [6]}
-        out = [(r.leader, r.node, r.onward, {r.leader, r.node} == {2, 3}, [5] if r.leader == 0 else rest.get((r.leader, r.node), []), []) for r in pairs.collect()]
-        return pairs.sparkSession.createDataFrame(out, "leader long, node long, onward boolean, linked boolean, rest array<long>, gaps array<long>")
-
-    fixed_buckets(monkeypatch, keys)
-    monkeypatch.setattr(near, "align", align)
-    got = {r.doc_id: r.class_id for r in near.classes(spark.createDataFrame([(d, str(d)) for d in keys], "doc_id long, text string"), small=2).collect()}
-    assert got == {d: 2 if d == 3 else d for d in keys}
-
-
 def test_lines(docs, rows, empty):
     first, order, gone = {}, [], collections.defaultdict(set)
     for doc, text in sorted({(d, t) for d, t, *_ in rows if d is not None}, key=lambda x: x[0]):
