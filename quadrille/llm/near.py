@@ -8,23 +8,26 @@ A candidate pair is verified by alignment of its two shingle sequences inside a
 the shared shingles that are no further apart than the similarity allows, the longest
 chain rising in both texts counts, and chain / (all - chain) must reach `least`.
 
-Classes are the connected components of the verified links. No step compares all pairs of
-a large group; its work is proportional to the group's rows:
+Classes are the connected components of the verified links. No step compares or emits all pairs of
+a large group, and none is capped:
 1. Equal texts are one node, so copies meet no alignment at all.
-2. Each bucket's nodes are aligned with one leader, the node that shares most buckets.
-   Nodes linked to it are connected.
-3. Two texts that are similar, one of which isn't linked to a leader, share shingles that
-   the leader lacks. So an alignment also returns the node's `rest`, the smallest (by hash)
-   of its shingles that the leader lacks, as many as `miss` asks for, and nodes that share one of them, under the
-   same leader, form new groups, with leaders of their own. Groups whose nodes are all linked
-   are done. This goes on until no group has a pair that wasn't aligned before.
-A frequent passage puts many texts in a bucket, but they share nothing beside it, so
-their rests part them at once.
-
-Texts are shuffled once, to keep those that share a bucket; aligned pairs read only these.
+2. Buckets of up to `small` nodes give their pairs. In a larger one, all nodes are aligned with one leader L, the node
+   that shares most buckets. If that leaves one component, the bucket is done.
+3. Else two of its nodes, u and x, in different components, are candidates by what they differ in from L. D(x) is the
+   set of shingles that just one of x and L holds; u and x differ in the very shingles in which D(u) and D(x) differ, so
+   linked nodes share at least (|D(u)| + |D(x)| - (|u| + |x|) (1 - least) / (1 + least)) / 2 shingles of their D. With all D
+   in one order, the rarest under L first, that many can only be shared if the first shared one comes early in both: a
+   prefix and position filter, exact as the bound is. One of u and x isn't in the component of L, hence |D| of it is over what a
+   link allows, and the bound is about half of the other's D. What many nodes add or lack comes last in the order, so
+   texts that share a frequent passage, or are edited alike, meet only if they have more in common than that.
+4. A node within the similarity of L by its set of shingles but not by their order has no such bound. It is aligned with
+   all nodes that met L; `small` such nodes of each leader at a time.
+
+Shingles of texts that share a bucket are written once; a leader's travel once for every `run` nodes, the nodes' own once a pair.
 
 Defined results: null and empty texts are equal texts; a text of fewer than five words is
-one shingle; rows with a null id are in no class (null) and stay; rows that share an id are one document;
+one shingle; rows with a null id are in no class (null) and stay; rows that share an id are classed each by its own
+text (two classes can then bear one id), and those that repeat id and text are one row of `deduplicate`;
 an empty table gives an empty result; extra columns are ignored by `classes`, returned by `deduplicate`.
 """
 
@@ -35,7 +38,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, materialize, table
@@ -83,103 +86,165 @@ def order_minhash(labels: np.ndarray, begin: np.ndarray, sketches: int, length:
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Order-keeping similarity of two sequences without repeats, by alignment inside the band that `least` allows."""
-    both = len(a) + len(b)
-    if not both or min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= (1 - least) / (1 + least) * both
-    order = np.argsort(i[near])
-    j = j[near][order]
-    chain = len(j)
-    if chain / max(both - chain, 1) < least:
-        return chain / (both - chain)
-    if np.any(np.diff(j) < 0):
-        tails: list[int] = []
-        for x in j.tolist():
-            at = bisect_left(tails, x)
-            tails[at : at + 1] = [x]
-        chain = len(tails)
-    return chain / (both - chain)
+def longest_rise(values: np.ndarray) -> int:
+    if np.all(np.diff(values) > 0):
+        return len(values)
+    tails: list[int] = []
+    for x in values.tolist():
+        at = bisect_left(tails, x)
+        tails[at : at + 1] = [x]
+    return len(tails)
+
+
+class Leader:
+    """A sequence of shingles without repeats that others are aligned with."""
+
+    def __init__(self, labels: np.ndarray):
+        self.place = np.argsort(labels, kind="stable")
+        self.labels = labels[self.place]
+
+    def align(self, node: np.ndarray, least: float) -> tuple[bool, bool, np.ndarray]:
+        """Whether the node is linked, whether it would be but for its order, and the shingles that just one of both holds."""
+        n, m = len(self.labels), len(node)
+        at = np.minimum(np.searchsorted(self.labels, node), max(n - 1, 0))
+        hit = self.labels[at] == node if n else np.zeros(m, bool)
+        here, at = np.flatnonzero(hit), at[hit]
+        alone = np.ones(n, bool)
+        alone[at] = False
+        apart = np.concatenate([self.labels[alone], node[~hit]])
+        if len(here) < least * (n + m - len(here)):
+            return False, False, apart
+        there = self.place[at]
+        there = there[np.abs(here - there) <= (1 - least) / (1 + least) * (n + m)]
+        chain = longest_rise(there) if len(there) >= least * (n + m - len(there)) else 0
+        linked = chain >= least * (n + m - chain)
+        return linked, not linked, apart
 
 
 def sketch(docs: DataFrame, sketches: int, length: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest of the words, number of shingles, keys; null ids left out."""
+    """row, doc_id, mark (of the text as it stands), digest of the words, number of shingles, keys; null ids left out."""
 
     def worker(batches):
         for batch in batches:
             digest, sizes, keys = [], [], []
-            for _, _, w in chunks(batch.column(1)):
+            for _, _, w in chunks(batch.column(2)):
                 labels, begin = labelled(w)
                 keys.append(order_minhash(labels, begin, sketches, length))
                 sizes.append(np.diff(begin))
-            for text in batch.column(1):
+            for text in batch.column(2):
                 digest.append(hashlib.blake2b(b" ".join(text.as_buffer().to_pybytes().split()), digest_size=16).digest())
             flat = np.concatenate(keys).view(np.int64).ravel() if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(digest) + 1, dtype=np.int32) * sketches), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64()), lists], names=["doc_id", "digest", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64()), lists], names=["doc_id", "mark", "digest", "size", "keys"])
 
+    rows = marked(docs, id_col, text_col).select("doc_id", "mark", "text")
+    return rows.mapInArrow(worker, "doc_id long, mark long, digest binary, size long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(worker, "doc_id long, digest binary, size long, keys array<long>")
+    return rows.withColumn("mark", F.xxhash64("text"))
 
 
-def lacking(leader: np.ndarray, node: np.ndarray, least: float, miss: float) -> np.ndarray:
-    """The smallest of the node's shingles that the leader lacks, as many as a similar text needs to share one of them.
+def shingles(rows: DataFrame) -> DataFrame:
+    """node, labels of rows (node, text)."""
 
-    A text of the same length and of similarity `least` lacks at most (1 - least) / (1 + least) of the node's
-    shingles, so of those that the leader lacks it shares a part of known least size; the more, the fewer are kept.
-    Where that part may be nil, all are kept. `miss` is the chance, under one leader, that two such texts share none that is kept; similar texts share buckets with several leaders.
-    """
-    rest = np.sort(np.setdiff1d(node, leader, assume_unique=True))
-    part = 1 - (1 - least) / (1 + least) * len(node) / max(len(rest), 1)
-    if part <= 0:
-        return rest
-    alike = part / (2 - part)
-    return rest[: int(np.ceil(np.log(miss) / np.log(1 - alike)))] if alike < 1 else rest[:1]
+    def worker(batches):
+        for batch in batches:
+            for low, high, w in chunks(batch.column(1)):
+                labels, begin = labelled(w)
+                lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(labels.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], names=["node", "labels"])
+
+    return rows.select("node", "text").mapInArrow(worker, "node long, labels array<long>")
 
 
-def align(pairs: DataFrame, texts: DataFrame, least: float, miss: float) -> DataFrame:
-    """Pairs (leader, node, onward) with linked, and rest: the node's smallest shingles that the leader lacks."""
+def align(pairs: DataFrame, labels: DataFrame, least: float, run: int) -> DataFrame:
+    """Pairs (leader, node, onward) with linked, moved (linked but for the order), both sizes, and for those onward the shingles that just one of both holds.
+
+    A leader's nodes are dealt to parts of about `run`; in each part its own shingles come first, and the nodes' follow one by one.
+    """
+    names = ["leader", "node", "onward", "linked", "moved", "leader_size", "size", "apart"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def worker(batches):
+        leader = None
         for batch in batches:
-            sides = []
-            for c in (3, 4):
-                parts = []
-                for _, _, w in chunks(batch.column(c)):
-                    labels, begin = labelled(w)
-                    parts += np.split(labels, begin[1:-1])
-                sides.append(parts)
-            linked = [similarity(x, y, least) >= least for x, y in zip(*sides, strict=True)]
-            rest = [lacking(x, y, least, miss).view(np.int64) for x, y in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["leader", "node", "onward", "linked", "rest"])
-
-    # Both sides rename the same columns, so Spark shuffles the texts once and uses that exchange twice.
-    one, two = texts.select(F.col("node").alias("n1"), F.col("text").alias("x")), texts.select(F.col("node").alias("n2"), F.col("text").alias("y"))
-    both = pairs.join(one, F.col("leader") == F.col("n1")).join(two, F.col("node") == F.col("n2"))
-    return both.select("leader", "node", "onward", "x", "y").mapInArrow(worker, "leader long, node long, onward boolean, linked boolean, rest array<long>")
-
-
-def candidates(groups: DataFrame, small: int) -> DataFrame:
-    """Pairs (leader, node, onward) from rows (g1, g2, node, linked). Two linked nodes need no pair.
-
-    A group of up to `small` nodes gives its pairs, small - 1 a node at most, and is done. A larger one gives
-    a pair for each node, with the leader that shares most groups under g1; these go onward.
+            begin, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(U)
+            key, node, onward = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                own = flat[begin[i] : begin[i + 1]]
+                if node[i] is None:
+                    leader = Leader(own)
+                    continue
+                linked, moved, apart = leader.align(own, least)
+                out.append((key[i], node[i], onward[i], linked, moved, len(leader.labels), len(own), apart.view(np.int64) if onward[i] else None))
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
+
+    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    dealt = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("node"), F.floor(F.col("n") / run) + 1).alias("part"), "node", "onward")
+    heads = dealt.select("leader", "part").distinct().join(labels.withColumnRenamed("node", "leader"), "leader")
+    rows = dealt.join(labels, "node").select("leader", "part", "node", "onward", "labels")
+    rows = rows.unionByName(heads.select("leader", "part", F.lit(None).cast("long").alias("node"), F.lit(False).alias("onward"), "labels"))
+    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("node").asc_nulls_first())
+    # Rows that repeat id and text have their shingles twice; the same pair then comes out once more, and counts once.
+    return rows.mapInArrow(worker, "leader long, node long, onward boolean, linked boolean, moved boolean, leader_size long, size long, apart array<long>")
+
+
+def candidates(buckets: DataFrame, small: int) -> DataFrame:
+    """Pairs (leader, node, onward) from rows (key, node).
+
+    A bucket of up to `small` nodes gives its pairs, small - 1 a node at most. A larger one gives
+    a pair for each node, with the one that shares most buckets; these go onward.
     """
-    sizes = groups.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("done")).where("n > 1 AND NOT done")
-    rows = groups.join(sizes, ["g1", "g2"])
-    lists = rows.where(F.col("n") <= small).groupBy("g1", "g2").agg(F.sort_array(F.collect_list(F.struct("node", "linked"))).alias("all"))
-    each = lists.select(F.inline(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter("all", lambda y, j: (j > i) & ~(x["linked"] & y["linked"])), lambda y: F.struct(x["node"].alias("leader"), y["node"].alias("node")))))))
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = buckets.join(sizes, "key")
+    lists = rows.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
+    each = lists.select(F.inline(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter("all", lambda y, j: j > i), lambda y: F.struct(x.alias("leader"), y.alias("node")))))))
     rows = rows.where(F.col("n") > small)
-    weight = rows.groupBy("g1", "node").agg(F.sum("n").alias("w"))
-    rows = rows.join(weight, ["g1", "node"])
-    first = rows.groupBy("g1", "g2").agg(F.max(F.struct("w", (-F.col("node")).alias("back"), "linked")).alias("top"))
-    star = rows.join(first, ["g1", "g2"]).where("node <> -top.back AND NOT (linked AND top.linked)").select((-F.col("top.back")).alias("leader"), "node")
+    weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
+    rows = rows.join(weight, "node")
+    first = rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("back"))).alias("top"))
+    star = rows.join(first, "key").where("node <> -top.back").select((-F.col("top.back")).alias("leader"), "node")
     both = each.withColumn("onward", F.lit(False)).unionByName(star.withColumn("onward", F.lit(True)))
     return both.groupBy("leader", "node").agg(F.max("onward").alias("onward"))
 
 
+def with_comp(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
+    """Adds the component of a node; a node without a link is its own."""
+    of = comps.select(F.col("node").alias("__of"), F.col("comp").alias("__comp"))
+    return rows.join(of, F.col(node) == F.col("__of"), "left").withColumn(name, F.coalesce("__comp", node)).drop("__of", "__comp")
+
+
+def unsettled(aligned: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of `align` that met a large bucket's leader, with comp and out (of the leader's component), where that leader has a node out."""
+    rows = with_comp(with_comp(aligned.where("onward"), comps, "node", "comp"), comps, "leader", "of_leader")
+    rows = rows.withColumn("out", F.col("comp") != F.col("of_leader")).drop("of_leader")
+    return rows.join(rows.where("out").select("leader").distinct(), "leader", "left_semi")
+
+
+def by_difference(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (leader, node) in different components of rows of `unsettled` that what they differ in from the leader lets be linked."""
+    part = (1 - least) / (1 + least)  # linked nodes differ in no more than this part of both sizes
+    rows = rows.withColumn("count", F.size("apart")).withColumn("most", F.col("size") * ((1 - least) / least))
+    least_shared = F.greatest((F.col("count") + (F.col("leader_size") - F.col("size")) * part) / 2, F.col("count") - F.col("most"), F.lit(0.0))
+    rows = rows.withColumn("long", F.least(F.col("count").cast("double"), F.col("most") + 1)).withColumn("half", F.col("count") - least_shared + 1)
+    each = rows.select("leader", "node", "comp", "out", "size", "count", "long", "half", F.explode("apart").alias("z"))
+    often = each.groupBy("leader", "z").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("low", "high")
+    # Shingles of one component alone come first in the order; no pair depends on them.
+    own = Window.partitionBy("leader", "node")
+    kept = each.join(often, ["leader", "z"]).withColumn("place", F.row_number().over(own.orderBy("n", "z")) + F.col("count") - F.count(F.lit(1)).over(own))
+    kept = kept.where((F.col("out") & (F.col("place") <= F.col("long"))) | (F.col("place") <= F.col("half"))).select("leader", "z", "node", "comp", "out", "size", "count", "place", (F.col("place") <= F.col("half")).alias("in_half"))
+    a, b = kept.where("out").alias("a"), kept.alias("b")
+    shared = (F.col("a.count") + F.col("b.count") - (F.col("a.size") + F.col("b.size")) * part) / 2
+    rest = F.least(F.col("a.count") - F.col("a.place"), F.col("b.count") - F.col("b.place")) + 1
+    meet = F.expr("a.leader = b.leader AND a.z = b.z AND a.comp <> b.comp AND b.in_half AND (NOT b.out OR (a.in_half AND a.node < b.node))")
+    sizes = (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * least - 1e-6) & (rest >= shared - 1e-6)
+    return a.join(b, meet & sizes).select(F.col("a.node").alias("leader"), F.col("b.node").alias("node")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node of its component) for all nodes with a link: smallest labels spread and jump until none changes."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
@@ -194,47 +259,56 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, least: float = 0.8, sketches: int = 16, length: int = 3, miss: float = 1e-5, small: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept."""
+def classed(docs: DataFrame, least: float, sketches: int, length: int, small: int, run: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row with an id: doc_id, mark, class_id, class_size, kept."""
     found = materialize(sketch(docs, sketches, length, id_col, text_col), "near-sketches")
-    copies = found.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    member = materialize(found.join(copies, "digest").select("doc_id", "node", "size", "keys"), "near-members")
-    rows = member.where("doc_id = node AND size > 0").select("node", F.posexplode("keys").alias("band", "key")).distinct()
-    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    buckets = materialize(rows.join(shared, ["band", "key"]).select("band", "key", "node"), "near-buckets")
-    wanted = buckets.select(F.col("node").alias("id")).distinct()
-    texts = materialize(docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text")).join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), "near-texts")
-
-    # In the first round a group is a bucket, and leaders are weighed over all orders.
-    groups = buckets.select(F.lit(0).cast("long").alias("g1"), F.struct("band", "key").alias("g2"), "node", F.lit(False).alias("linked"))
-    done = None
-    while True:
-        pairs = candidates(groups, small)
-        small *= 4  # so the rounds are few, whatever the largest group
-        pairs = materialize(pairs if done is None else pairs.join(done, ["leader", "node"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            break
-        new = materialize(align(pairs, texts, least, miss), "near-aligned")
-        done = new.select("leader", "node", "linked") if done is None else done.unionByName(new.select("leader", "node", "linked"))
-        groups = new.where("onward").select(F.col("leader").alias("g1"), F.explode("rest").alias("g2"), "node", "linked")
-    links = done.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")) if done is not None else None
-
-    member = member.select("doc_id", "node")
-    joined = member.withColumn("comp", F.col("node")) if links is None else member.join(components(links), "node", "left")
-    of = joined.select("doc_id", F.coalesce("comp", "node").alias("class_id"))
-    of = of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    found = ids.join(of, "doc_id", "left")
-    size = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    found = found.join(size, "class_id", "left")
-    return found.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    copies = found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    member = materialize(found.join(copies, "digest").select("row", "doc_id", "mark", "node", "first_id", "n", "size", "keys"), "near-members")
+    nodes = member.where("row = node")
+    rows = nodes.where("size > 0").select("node", F.explode("keys").alias("key"))  # a key holds its order's number
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets = materialize(rows.join(shared, "key").select("key", "node"), "near-buckets")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"))
+    texts = marked(docs, id_col, text_col)
+    labels = materialize(shingles(texts.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("mark") == F.col("w_mark")))), "near-shingles")
+
+    links = lambda rows: rows.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    first = materialize(align(materialize(candidates(buckets, small), "near-pairs"), labels, least, run), "near-aligned")
+    comps = components(links(first))
+    rows = materialize(unsettled(first, comps), "near-unsettled")
+    closer = materialize(by_difference(rows, least).withColumn("onward", F.lit(False)), "near-pairs")
+    all_links = links(first).unionByName(links(materialize(align(closer, labels, least, run), "near-aligned")))
+    moved = rows.where("moved AND out").select("leader", "node", "comp").distinct()
+    moved = materialize(moved.withColumn("turn", F.floor((F.row_number().over(Window.partitionBy("leader").orderBy("node")) - 1) / small)), "near-moved")
+    for turn in range((moved.agg(F.max("turn")).first()[0] or 0) + 1 if not moved.isEmpty() else 0):
+        to = rows.select(F.col("leader").alias("l"), F.col("node").alias("n"), F.col("comp").alias("c"))
+        pairs = moved.where(F.col("turn") == turn).join(to, F.expr("leader = l AND comp <> c")).select(F.col("node").alias("leader"), F.col("n").alias("node"), F.lit(False).alias("onward")).distinct()
+        all_links = all_links.unionByName(links(materialize(align(materialize(pairs, "near-pairs"), labels, least, run), "near-aligned")))
+    comps = components(all_links)
+
+    of = with_comp(nodes.select("node", "first_id", "n"), comps, "node", "comp")
+    per = of.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
+    first = of.join(per, "comp").where("first_id = class_id").groupBy("comp").agg(F.min("node").alias("first_node"))
+    per = of.select("node", "comp").join(per, "comp").join(first, "comp").withColumnRenamed("node", "of")
+    return member.join(per, F.col("node") == F.col("of")).select("doc_id", "mark", "class_id", "class_size", ((F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("first_node"))).alias("kept"))
+
+
+def classes(docs: DataFrame, least: float = 0.8, sketches: int = 16, length: int = 3, small: int = 8, run: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept."""
+    found = classed(docs, least, sketches, length, small, run, id_col, text_col).drop("mark")
+    none = docs.where(F.col(id_col).cast("long").isNull())
+    return found.unionByName(none.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"), F.lit(True).alias("kept")))
+
+
+def deduplicate(docs: DataFrame, least: float = 0.8, sketches: int = 16, length: int = 3, small: int = 8, run: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each class, and rows with a null id, with all columns."""
-    kept = classes(docs, id_col=id_col, **how).where("kept").select(F.col("doc_id").alias("__q_id")).distinct()
-    rows = docs.withColumn("__q_id", F.col(id_col).cast("long"))
-    return rows.join(kept, rows["__q_id"].eqNullSafe(kept["__q_id"]), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classed(docs, least, sketches, length, small, run, id_col, text_col).where("kept").select(F.col("doc_id").alias("__q_kept"), F.col("mark").alias("__q_kept_mark")).distinct()
+    rows = docs.withColumn("__q_id", F.col(id_col).cast("long")).withColumn("__q_mark", F.xxhash64(body(text_col)))
+    stay = rows.join(kept, (F.col("__q_id") == F.col("__q_kept")) & (F.col("__q_mark") == F.col("__q_kept_mark")))
+    # The join has brought the rows of one id and text together already.
+    stay = stay.withColumn("__q_row", F.row_number().over(Window.partitionBy("__q_id", "__q_mark").orderBy(F.lit(1)))).where("__q_row = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return stay.select(*columns).unionByName(docs.where(F.col(id_col).cast("long").isNull()))
 
 
 def op4_near_dedup(spark, sf_dir):

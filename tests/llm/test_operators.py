@@ -1,7 +1,9 @@
 """The text operators on small fixtures: brute force, round trips, and odd input."""
 
+import bisect
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -107,13 +109,16 @@ def test_suffix(docs, rows, empty):
     assert suffix.repeats(empty).count() == 0
 
 
-def test_near(docs, rows, empty):
-    texts = {d: t for d, t, *_ in rows if d is not None}
+def near_classes(texts, least=0.8):
+    """Smallest key of each text's class by all pairs: the longest chain of labelled five-word shingles rising in both."""
     shingles = {}
     for d, t in texts.items():
-        w = split(t)
-        c = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-        shingles[d] = {(g, n) for g, k in c.items() for n in range(k)}
+        w, seen, out = split(t), collections.Counter(), []
+        for i in range(max(1, len(w) - 4)) if w else []:
+            g = tuple(w[i : i + 5])
+            out.append((g, seen[g]))
+            seen[g] += 1
+        shingles[d] = out
     root = {d: d for d in texts}
 
     def find(x):
@@ -121,29 +126,68 @@ def test_near(docs, rows, empty):
             x = root[x]
         return x
 
-    for a in texts:
-        for b in texts:
-            m = len(shingles[a] & shingles[b])
-            if a < b and (m / (len(shingles[a]) + len(shingles[b]) - m) >= 0.8):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+    place = {d: {g: i for i, g in enumerate(x)} for d, x in shingles.items()}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        n = len(shingles[a]) + len(shingles[b])
+        if find(a) == find(b) or not n and root.update({find(b): find(a)}) is None:
+            continue
+        both = [place[b][g] for g in shingles[a] if g in place[b]]
+        tails = []
+        for x in both:
+            at = bisect.bisect_left(tails, x)
+            tails[at : at + 1] = [x]
+        if n and len(tails) >= least * (n - len(tails)):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in texts}
+
+
+def test_near(docs, rows, empty):
+    want = near_classes({d: t for d, t, *_ in rows if d is not None})
     got = {(r.doc_id, r.class_id) for r in near.classes(docs).collect()}
-    assert got == {(d, find(d)) for d in texts} | {(None, None)}
-    assert near.deduplicate(docs).columns == docs.columns and near.classes(empty).count() == 0
+    assert got == set(want.items()) | {(None, None)}
+    kept = near.deduplicate(docs)
+    assert kept.columns == docs.columns and near.classes(empty).count() == 0 and near.deduplicate(empty).count() == 0
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter({*want.values(), None})
 
 
-def test_near_large_groups_go_by_leaders(spark):
-    rng = np.random.default_rng(7)
-    base = prose(rng, 120).split()
+def near_family(rng):
+    """A large group: edits of a base, its beginnings of many lengths and their edits, moved blocks, a shared passage with texts of their own."""
+    base = [f"b{i}" for i in range(200)]
     out = []
-    for i in range(80):
+    for i in range(60):
         w = list(base)
-        for k in rng.integers(0, 120, int(rng.integers(0, 3))):
-            w[k] = f"e{i}"
-        out.append((i, " ".join(w)))
-    got = near.classes(spark.createDataFrame(out, "doc_id long, text string"), small=2).collect()
-    close = sum(r.class_id == 0 for r in got)
-    assert close >= 70 and len(got) == 80
+        for k in rng.integers(0, 200, int(rng.integers(0, 9))):
+            w[k] = f"e{i}x{k}"
+        out.append(w)
+    for i in range(60):
+        w = base[: int(rng.integers(120, 200))]
+        if i % 2:
+            w[int(rng.integers(0, len(w)))] = f"s{i}"
+        out.append(w)
+    for i in range(12):
+        k = int(rng.integers(20, 60))
+        out.append(base[k:] + base[:k] + [f"m{i}"] * (i % 3))
+    for i in range(60):
+        out.append(base[:100] + [f"o{i // 3}y{j}" for j in range(40 + i % 3 * 4)])
+    return {i: " ".join(w) for i, w in enumerate(out)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_large_groups_lose_no_link(spark, seed):
+    texts = near_family(np.random.default_rng(seed))
+    want = near_classes(texts)
+    got = {r.doc_id: r.class_id for r in near.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), small=3, run=16).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_near_rows_that_share_an_id_are_classed_by_their_own_text(spark):
+    rng = np.random.default_rng(8)
+    a, b = prose(rng, 60), prose(rng, 60).split()
+    near_b = " ".join([*b[:30], "other", *b[31:]])
+    docs = spark.createDataFrame([(1, a), (3, a), (3, " ".join(b)), (7, near_b), (7, near_b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in near.classes(docs).collect()) == [(1, 1, 2, True), (3, 1, 2, False), (3, 3, 3, True), (7, 3, 3, False), (7, 3, 3, False)]
+    assert {(r.doc_id, r.text) for r in near.deduplicate(docs).collect()} == {(1, a), (3, " ".join(b))}
 
 
 def test_lines(docs, rows, empty):
