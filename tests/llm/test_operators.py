@@ -92,23 +92,41 @@ def test_exact(docs, rows, empty):
     assert exact.annotate(empty).count() == 0 and exact.deduplicate(empty).count() == 0
 
 
+def covered(texts, least=50):
+    """Word places of each text, in order of its key, that lie in `least` words which occur earlier."""
+    first, out = {}, collections.defaultdict(set)
+    for d in sorted(texts):
+        w = split(texts[d])
+        for k in range(len(w) - least + 1):
+            if first.setdefault(tuple(w[k : k + least]), (d, k)) != (d, k):
+                out[d] |= set(range(k, k + least))
+    return dict(out)
+
+
 def test_suffix(docs, rows, empty):
+    texts = {d: t for d, t, *_ in rows if d is not None}
     got = {r.doc_id: r for r in suffix.repeats(docs).collect()}
-    seen, want = set(), set()
-    for doc, text in sorted({(d, t) for d, t, *_ in rows if d is not None}, key=lambda x: x[0]):
-        w = split(text)
-        for k in range(len(w) - 49):
-            g = tuple(w[k : k + 50])
-            want |= {doc} if g in seen else set()
-            seen.add(g)
-    assert set(got) == want
-    for r in got.values():
-        text = next(t for d, t, *_ in rows if d == r.doc_id)
+    assert {d: {x for s in r.spans for x in range(s.f, s.t)} for d, r in got.items()} == covered(texts)
+    for d, r in got.items():
+        assert r.repeated_words == len(covered(texts)[d])
         for s in r.spans:
-            assert len(split(text[s.start : s.end])) == s.t - s.f >= 50
+            assert len(split(texts[d][s.start : s.end])) == s.t - s.f >= 50
     assert suffix.repeats(empty).count() == 0
 
 
+def test_suffix_finds_stretches_whose_neighbours_share_less(spark):
+    rng = np.random.default_rng(11)
+    passage = prose(rng, 60).split()
+    texts = {}
+    for i in range(80):
+        low, high = (0, 60) if i in (0, 40, 79) else sorted(rng.integers(0, 61, 2).tolist())
+        texts[i] = f"{prose(rng, int(rng.integers(0, 40)))} {' '.join(passage[low:high])} {prose(rng, int(rng.integers(0, 40)))}"
+    texts[80] = " ".join(f"a{i % 7}" for i in range(300))  # repeats itself
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: {x for s in r.spans for x in range(s.f, s.t)} for r in suffix.repeats(docs, salts=3).collect()}
+    assert got == covered(texts) and {40, 79, 80} <= set(got)
+
+
 def near_classes(texts, least=0.8):
     """Smallest key of each text's class by all pairs: the longest chain of labelled five-word shingles rising in both."""
     shingles = {}
@@ -190,23 +208,49 @@ def test_near_rows_that_share_an_id_are_classed_by_their_own_text(spark):
     assert {(r.doc_id, r.text) for r in near.deduplicate(docs).collect()} == {(1, a), (3, " ".join(b))}
 
 
+def removed_lines(texts, least=3, alone=5):
+    first, out = {}, {}
+    for d in sorted(texts):
+        own = [(i, x) for i, x in enumerate((texts[d] or "").split("\n")) if split(x)]
+        gone = set()
+        for k in range(len(own)):
+            for n in (least, 1):
+                run = tuple(x for _, x in own[k : k + n])
+                if len(run) == n and (n > 1 or len(split(run[0])) >= alone) and first.setdefault(run, (d, k)) != (d, k):
+                    gone |= {i for i, _ in own[k : k + n]}
+        out[d] = sorted(gone)
+    return out
+
+
 def test_lines(docs, rows, empty):
-    first, order, gone = {}, [], collections.defaultdict(set)
-    for doc, text in sorted({(d, t) for d, t, *_ in rows if d is not None}, key=lambda x: x[0]):
-        own = [(i, x) for i, x in enumerate((text or "").split("\n")) if x.encode().split()]
-        order.append((doc, own))
-        for k in range(len(own) - 2):
-            first.setdefault(tuple(x for _, x in own[k : k + 3]), (doc, k))
-    for doc, own in order:
-        for k in range(len(own) - 2):
-            if first[tuple(x for _, x in own[k : k + 3])] != (doc, k):
-                gone[doc] |= {i for i, _ in own[k : k + 3]}
+    texts = {d: t for d, t, *_ in rows if d is not None}
     got = {r.doc_id: sorted(r.removed) for r in lines.repeated(docs).collect()}
-    assert got == {doc: sorted(gone[doc]) for doc, _ in order}
+    assert got == removed_lines(texts)
     cut = {r.doc_id: r.text for r in lines.delete(docs).collect()}
     assert cut[77].count("\n") == 1 and cut[76].count("\n") == 5 and lines.repeated(empty).count() == 0
 
 
+def test_lines_of_short_and_repeating_lines(spark):
+    rng = np.random.default_rng(12)
+    pool = ["a", "b c", "d", "e f g h i", "j k l m n o", "x y"]
+    texts = {i: "\n".join(pool[k] for k in rng.integers(0, len(pool), int(rng.integers(0, 12)))) for i in range(40)}
+    got = {r.doc_id: sorted(r.removed) for r in lines.repeated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == removed_lines(texts)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    block = "\n".join(f"line number {i} of it" for i in range(5))
+    docs = spark.createDataFrame([(4, block), (5, block), (5, block), (5, "u1\nu2\nu3\nu4")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in lines.delete(docs).collect()} == {(4, block), (5, ""), (5, "u1\nu2\nu3\nu4")}
+
+
+def test_lines_are_winnowed():
+    rng = np.random.default_rng(1)
+    for window in (3, 8):
+        picked = lines.fingerprints(rng.integers(0, 2**63, 20_000).astype(np.uint64), 1, window)
+        assert abs(len(np.unique(picked)) / 20_000 - 2 / (window + 1)) < 0.02
+
+
 def test_toxic(spark, empty):
     rng = np.random.default_rng(9)
     out, labels = [], []
