@@ -5,10 +5,13 @@ hold. The postings of those trigrams, (trigram, document), are intersected for e
 alternative of a query; documents that satisfy one are candidates, and only they are read
 by that rule's expression. Rules without a mandatory trigram read every text.
 
-Everything is a DataFrame expression. Postings are short rows, shuffled by document, and a
-trigram that a third of all documents hold never meets in one task. Texts are shuffled
-once, to meet the candidates; Spark filters them before that by a Bloom filter of the
-candidates when they are large.
+An alternative asks for the `asked` rarest of its trigrams, by how common their letters are; each is mandatory, so
+fewer of them only add candidates.
+
+Everything is a DataFrame expression. One scan of the texts, by one expression for all asked trigrams, makes the postings. They are
+intersected by counting, for each rule, alternative and document, the asked trigrams that meet; a
+trigram that a third of all documents hold never meets in one task. A second scan reads the texts with the candidates' ids,
+which are broadcast if they are at most `broadcast_rows`, and else joined by a shuffle.
 
 Spans are in code points, the end exclusive. An expression's matches are leftmost and
 non-overlapping for each rule; those whose `group` is shorter than `least` are dropped after matching.
@@ -20,12 +23,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, table
+from .common import body, materialize, table
 from .trigrams import trigram_query
 
 
@@ -52,21 +56,34 @@ RULES = (
 )
 
 
+#: Letters from the most to the least common in English; anything else counts as rarer.
+COMMON = "etaoinshrdlucmfwygpbvkjxqz"
+
+
+def asked_of(way: frozenset[str], most: int) -> list[str]:
+    """The rarest trigrams of an alternative."""
+    rarity = lambda t: sum(COMMON.find(c) if c in COMMON else len(COMMON) for c in t)
+    return sorted(way, key=lambda t: (-rarity(t), t))[:most]
+
+
 def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index of the given trigrams: key columns and trigram, one row for each that a text holds."""
-    low = rows.select("id", "mark", F.lower("text").alias("low"))
-    held = low.select("id", "mark", F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams])).alias("held"))
-    return held.select("id", "mark", F.explode("held").alias("trigram"))
+    """The inverted index of the given trigrams: id, mark and trigram, one row for each that a text holds."""
+    one = "(?i)(?=(" + "|".join(re.escape(t) for t in trigrams) + "))"  # at most one of them begins at any place
+    held = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(one), F.lit(1)), F.lower))
+    return rows.select("id", "mark", F.explode(held).alias("trigram"))
 
 
-def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def candidates(rows: DataFrame, rules: tuple[Rule, ...], asked: int) -> DataFrame:
     """id, mark, kinds: the indexed rules some alternative of whose query a text satisfies."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    asked = sorted({t for q in queries.values() for way in q for t in way})
-    lists = postings(rows, asked).groupBy("id", "mark").agg(F.collect_set("trigram").alias("has"))  # at most the asked ones
-    meets = lambda q: F.exists(F.array(*[F.size(F.array_except(F.array(*map(F.lit, sorted(way))), F.col("has"))) == 0 for way in q]), lambda x: x)
-    kinds = F.array_compact(F.array(*[F.when(meets(q), F.lit(k)) for k, q in queries.items() if q]))
-    return lists.select("id", "mark", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    ways = [(r.kind, i, asked_of(way, asked)) for r in rules for i, way in enumerate(trigram_query(r.pattern))]
+    trigrams = sorted({t for *_, way in ways for t in way})
+    # Which alternatives ask for a trigram: a column, as the rules are few.
+    asking = F.create_map(*[x for t in trigrams for x in (F.lit(t), F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("way"), F.lit(len(w)).alias("need")) for k, i, w in ways if t in w]))])
+    lists = postings(rows, trigrams).select("id", "mark", F.inline(asking[F.col("trigram")]))
+    met = lists.groupBy("kind", "way", "need", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    # Rows that repeat id and text count their trigrams once more each.
+    met = met.where("n >= need")
+    return met.groupBy("id", "mark").agg(F.collect_set("kind").alias("kinds"))
 
 
 def spans_of(rule: Rule, text: Column) -> Column:
@@ -87,10 +104,12 @@ def spans_of(rule: Rule, text: Column) -> Column:
     return F.when(F.size(whole) > 0, F.aggregate(steps, first, add, lambda acc: acc["out"])).otherwise(empty)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, asked: int = 2, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, spans array<struct<kind, start, end>> by start, then by kind as listed."""
     rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    found = candidates(rows, rules).withColumnRenamed("id", "of").withColumnRenamed("mark", "of_mark")
+    found = materialize(candidates(rows, rules, asked).withColumnRenamed("id", "of").withColumnRenamed("mark", "of_mark"), "secret-candidates")
+    if found.count() <= broadcast_rows:
+        found = F.broadcast(found)
     indexed = [r for r in rules if trigram_query(r.pattern)]
     plain = [r for r in rules if not trigram_query(r.pattern)]
     both = rows.join(found, rows["id"].eqNullSafe(found["of"]) & (rows["mark"] == found["of_mark"]), "left")
