@@ -11,8 +11,10 @@ only the others cost time. The marginals' sum and maximum give the document's sc
 logistic curve fitted on the same sample, and tokens at one half or more are the offences.
 
 The model is fitted on a bounded sample, `most_toxic` and `most_clean` labelled documents in the
-order of a hash of their ids, reweighted to the labels' true rates. It never sees held-out
-rows, nor language, source or id. Scoring is one pass over the documents, without a shuffle.
+order of a hash of their ids, as far as `most_bytes` of text go, reweighted to the labels' true rates. It never sees held-out
+rows, nor language, source or id. The chain is trained on `most_windows` windows at most: all with a known feature and a part
+`quiet` of the others, drawn evenly over the sample's documents. One task fits it, and the driver gets the model
+alone. Scoring is one pass over the documents, whole texts, without a shuffle.
 
 Defined results: null and empty texts get the score of a text without offences; null ids
 and labels without a document are never trained on; repeated rows are scored each; with
@@ -21,7 +23,9 @@ no usable labels every score is the share of toxic labels, or 0; extra columns a
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -190,7 +194,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return c
 
 
-def fit(texts: list[str], toxic: list[int], weight: list[float], least: int = 4) -> Model:
+def fit(texts: list[str], toxic: list[int], weight: list[float], least: int = 4, most_windows: int = 6_000, quiet: float = 0.05) -> Model:
     """A model from sample texts, their labels, and their weights in the whole set of labels.
 
     Seven tenths of the texts, by hash, give the features and the chain; the others, where features picked by
@@ -198,7 +202,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], least: int = 4)
     """
     fold = np.array([zlib.crc32(t.encode()) % 10 < 7 for t in texts], bool)
     part = lambda x, of: [v for v, k in zip(x, fold, strict=True) if k == of]
-    model = fit_chain(part(texts, True), part(toxic, True), part(weight, True), least)
+    model = fit_chain(part(texts, True), part(toxic, True), part(weight, True), least, most_windows, quiet)
     rest = np.array(part(toxic, False), int)
     if not len(model.known) or not rest.any() or rest.all():
         return model
@@ -210,7 +214,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], least: int = 4)
     return model
 
 
-def fit_chain(texts: list[str], toxic: list[int], weight: list[float], least: int) -> Model:
+def fit_chain(texts: list[str], toxic: list[int], weight: list[float], least: int, most_windows: int, quiet: float) -> Model:
     """Features and chain; the curve gives every text the labels' rate."""
     y, weight = np.array(toxic, int), np.array(weight, float)
     column = pc.utf8_lower(pa.array(texts, pa.large_string()))
@@ -255,7 +259,7 @@ def fit_chain(texts: list[str], toxic: list[int], weight: list[float], least: in
     if not len(known):
         return flat
 
-    windows, labels = [], []
+    windows, labels, nth = [], [], []
     rng = np.random.default_rng(0)
     for low, high, w in chunks(column, inside=IS_LETTER):
         token, place = _found(known, token_features(w))
@@ -267,26 +271,44 @@ def fit_chain(texts: list[str], toxic: list[int], weight: list[float], least: in
         starts = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(w.first[:-1], w.first[1:], strict=True)] or [np.zeros(0, int)])
         ends = np.minimum(starts + WINDOW, w.first[np.searchsorted(w.first, starts, side="right")])
         a, b = np.searchsorted(token, starts), np.searchsorted(token, ends)
-        for i in np.flatnonzero((b > a) | (rng.random(len(starts)) < 0.05)):
+        picked = np.flatnonzero((b > a) | (rng.random(len(starts)) < quiet))
+        picked = picked[np.lexsort((rng.random(len(picked)), np.searchsorted(w.first, starts[picked], side="right")))]
+        of = np.searchsorted(w.first, starts[picked], side="right")
+        nth.append(np.arange(len(of)) - np.searchsorted(of, of))  # a document's second window is drawn after all documents' first
+        for i in picked:
             windows.append((token[a[i] : b[i]] - starts[i], place[a[i] : b[i]], int(ends[i] - starts[i])))
             labels.append(gold[starts[i] : ends[i]])
-    if len(windows) > 6_000:
-        take = rng.permutation(len(windows))[:6_000]
+    if len(windows) > most_windows:
+        order = np.concatenate(nth)
+        take = np.lexsort((rng.random(len(order)), order))[:most_windows]
         windows, labels = [windows[i] for i in take], [labels[i] for i in take]
     theta, bias, moves = _train_chain(windows, labels, len(known))
     return Model(known, theta, bias, moves, flat.curve)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_clean: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_clean: int = 4000, most_bytes: int = 128 << 20, most_windows: int = 6_000, quiet: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most most_toxic + most_clean labelled documents outside the held-out fold."""
     ids = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", bits(F.col("doc_id")))
     counts = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     parts = [ids.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(most) for k, most in ((1, most_toxic), (0, most_clean))]
-    sample = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__q_id"), "toxic")  # bounded by the two parameters
-    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("__q_id")).select("id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["id", "text"]).reset_index(drop=True)
-    got = rows["toxic"].value_counts().to_dict()
-    return fit(rows["text"].tolist(), rows["toxic"].tolist(), [counts[t] / got[t] for t in rows["toxic"]])
+    sample = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__q_id"), F.col("toxic").cast("int").alias("toxic"), "h")  # bounded by the two parameters
+
+    def worker(batches):
+        texts, toxic, size = [], [], 0
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                size += len(text.as_buffer())
+                if size <= most_bytes:
+                    texts.append(text.as_py())
+                    toxic.append(label)
+        got = Counter(toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic, [counts[t] / got[t] for t in toxic], most_windows=most_windows, quiet=quiet))], pa.binary())], names=["model"])
+
+    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("__q_id"))
+    # Rows that repeat an id are few enough to be read, up to the bound; the bounded sample is all that meets in this task.
+    rows = rows.repartition(1).sortWithinPartitions("h", "id", "text").select("text", "toxic")
+    found = rows.mapInArrow(worker, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
