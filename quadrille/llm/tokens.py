@@ -7,13 +7,13 @@ scores. All nodes of one depth are taken together: the vocabulary's pieces that
 node are found by the hash of its last bytes. A node that ends a pre-token stores its
 count of tokens, and a text's count is the sum over its pre-tokens.
 
-Scores are those of Zipf's law by place in the vocabulary, -ln(place + 1); a byte that no
+Scores are a parameter, a dictionary of pieces; without it they are those of Zipf's law by place in the vocabulary, -ln(place + 1), as
+the public vocabulary is no unigram model and has none; a byte that no
 piece covers is one token at `byte_score`. Of equal scores, the split with fewer tokens counts.
 A pre-token of more than 256 bytes stays outside the trie: its scores are computed byte by
 byte, in stretches that carry on the scores of as many bytes as the longest piece has, so its
-split is the best one too. That is what the query counts. `count_tokens` does so with
-`longest=None`; by default it cuts pre-tokens into stretches of `longest` bytes first and sums
-their counts, which isn't the best split of a longer one.
+split is the best one too. With `longest`, an option that the query doesn't take, pre-tokens are cut into stretches of so many bytes
+first and their counts are summed, which isn't the best split of a longer one.
 
 The vocabulary is a public file whose path is a parameter; nothing is trained. Texts are
 read once, there is no shuffle, and a task's memory depends on a few MB of text only.
@@ -45,13 +45,15 @@ def default_vocabulary() -> str:
 class Vocabulary:
     """Hashes of the pieces' bytes by length, with their scores."""
 
-    def __init__(self, path: str, byte_score: float = -20.0):
+    def __init__(self, path: str, byte_score: float = -20.0, scores: dict[str, float] | None = None):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         self.byte_score = byte_score
         self.pieces: dict[bytes, float] = {}
-        for i in range(sp.get_piece_size()):
+        for piece, score in (scores or {}).items():
+            self.pieces[piece.encode()] = float(score)
+        for i in range(0 if scores else sp.get_piece_size()):
             if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i) or sp.is_byte(i)):
                 self.pieces.setdefault(sp.id_to_piece(i).encode(), -float(np.log(i + 1)))
         up, _ = powers(_BASE, 1 << 16)
@@ -69,7 +71,7 @@ class Vocabulary:
 
 #: Bytes of the longest pre-token that goes into the trie.
 TRIE = 256
-_KNOWN: dict[tuple[str, float], Vocabulary] = {}
+_KNOWN: dict[tuple[str, float, int], Vocabulary] = {}
 
 
 def trie_counts(words: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -172,15 +174,16 @@ def long_count(word: bytes, vocabulary: Vocabulary, stretch: int = 1 << 16) -> i
     return counts[-1]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None, byte_score: float = -20.0, longest: int | None = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, byte_score: float = -20.0, longest: int | None = None, scores: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_pretokens, n_tokens."""
     path = vocabulary or default_vocabulary()
 
     def worker(batches):
-        known = _KNOWN.get((path, byte_score)) or _KNOWN.setdefault((path, byte_score), Vocabulary(path, byte_score))
+        key = (path, byte_score, hash(frozenset(scores.items())) if scores else 0)
+        known = _KNOWN.get(key) or _KNOWN.setdefault(key, Vocabulary(path, byte_score, scores))
         for batch in batches:
             words, tokens = [], []
-            for _, _, w in chunks(batch.column(1)):
+            for _, _, w in chunks(batch.column(1), most=2 << 20):
                 _, at, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
                 data = w.data.tobytes()
                 pre = [MARK + data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
@@ -200,4 +203,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, byte_score: flo
 
 
 def op8_token_counts(spark, sf_dir):
-    return count_tokens(table(spark, sf_dir, "documents"), longest=None)
+    return count_tokens(table(spark, sf_dir, "documents"))

@@ -26,10 +26,10 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -66,6 +66,13 @@ def token_features(w: Words) -> list[np.ndarray]:
     return out
 
 
+def lowered(column: pa.Array, rows: int = 256) -> Iterator[Words]:
+    """Tokens of a column of texts in lower case, a few rows at once, so that no batch is held twice."""
+    for low in range(0, len(column), rows):
+        for _, _, w in chunks(pc.utf8_lower(column.slice(low, rows)), inside=IS_LETTER):
+            yield w
+
+
 def _found(model_known: np.ndarray, feats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and places in `known` of all known features."""
     token, place = [], []
@@ -222,16 +229,15 @@ def fit_chain(texts: list[str], toxic: list[int], weight: list[float], least: in
     flat = Model(np.zeros(0, U), np.zeros(0), 0.0, np.zeros((2, 2)), np.array([np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)), 0.0, 0.0]))
     if not y.any() or y.all():
         return flat
-    parts = []
+    bad, n_bad = np.zeros(0, U), np.zeros(0)
     for _, _, w in chunks(column.filter(pa.array(y == 1)), inside=IS_LETTER):
-        doc = w.docs()
+        doc, parts = w.docs(), [(bad, n_bad)]
         for f in token_features(w):
             once = np.unique(mixed(f + doc.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)[1]  # a feature counts once in a text
             parts.append(np.unique(f[once], return_counts=True))
-    bad, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    n_bad = np.bincount(at, np.concatenate([n for _, n in parts]), len(bad))
+        bad, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        n_bad = np.bincount(at, np.concatenate([n for _, n in parts]), len(bad))
     bad, n_bad = bad[(n_bad >= least) & (bad != 0)], n_bad[(n_bad >= least) & (bad != 0)]
-    del parts, at
     if not len(bad):
         return flat
     against = np.zeros(len(bad))
@@ -316,9 +322,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def worker(batches):
         for batch in batches:
-            column = pc.utf8_lower(batch.column(1))
             score, tokens, spans = [], [], []
-            for _, _, w in chunks(column, inside=IS_LETTER):
+            for w in lowered(batch.column(1)):
                 token, p = marginals(model, w)
                 doc = np.searchsorted(w.first, token, side="right") - 1
                 x = _summary(len(w.offsets) - 1, doc, p)
@@ -341,15 +346,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep(docs: DataFrame, model: Model, most: float, text_col: str = "text") -> DataFrame:
     """The rows scored under `most`, with all their columns. The score is a column computed beside them: no join, no shuffle."""
 
-    @F.pandas_udf("double")
-    def scores(text: pd.Series) -> pd.Series:
-        column = pc.utf8_lower(pa.array(text, pa.large_string()))
+    @F.arrow_udf("double")
+    def scores(text: pa.Array) -> pa.Array:
         out = []
-        for _, _, w in chunks(column, inside=IS_LETTER):
+        for w in lowered(text):
             token, p = marginals(model, w)
             x = _summary(len(w.offsets) - 1, np.searchsorted(w.first, token, side="right") - 1, p)
             out.append(1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30))))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return docs.where(scores(body(text_col)) < most)
 

@@ -1,6 +1,6 @@
 """Numpy helpers inside tasks: words of Arrow text batches, their hashes, and hashes of runs of words.
 
-All of it works on a few MB of text at once; a longer text is a chunk of its own.
+All of it works on half a MB of text at once, which takes about 40 times that in memory; a longer text is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IS_WORD) -
     return Words(data, offsets, start, end, np.searchsorted(start, offsets), Rolling(data.astype(U) + U(1)))
 
 
-def chunks(column: pa.Array, most: int = 2 << 20, inside: np.ndarray = IS_WORD) -> Iterator[tuple[int, int, Words]]:
+def chunks(column: pa.Array, most: int = 1 << 19, inside: np.ndarray = IS_WORD) -> Iterator[tuple[int, int, Words]]:
     """First and last row (exclusive) and words of stretches of at most `most` bytes, or of one longer text."""
     data, offsets = texts(column)
     low = 0
