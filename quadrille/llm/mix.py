@@ -82,14 +82,14 @@ def copies(docs: DataFrame, seed: str = "mix", cell_rows: int = 1_000_000, id_co
 def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents themselves with all columns, each as often as it is taken.
 
-    Counts are per id; rows that share an id share its copies in turn, by order of size.
+    Counts are per id, source and size; rows that share these share the copies in the order of their texts' digests.
     """
     taken = copies(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
     same = Window.partitionBy("__q_id", "__q_source", "__q_size")
     keys = taken.select(F.col("doc_id").alias("__q_id"), F.col("source").alias("__q_source"), F.col("size").alias("__q_size"), F.col("copies").alias("__q_copies"))
     keys = keys.withColumn("__q_row", F.row_number().over(same.orderBy(F.desc("__q_copies")))).where("__q_copies > 0").alias("k")
     rows = docs.withColumn("__q_id", F.col(id_col)).withColumn("__q_source", F.col(source_col)).withColumn("__q_size", words(text_col))
-    rows = rows.withColumn("__q_row", F.row_number().over(same.orderBy(F.lit(1)))).alias("d")
+    rows = rows.withColumn("__q_row", F.row_number().over(same.orderBy(F.md5(body(text_col))))).alias("d")
     on = F.expr("d.__q_id <=> k.__q_id AND d.__q_source <=> k.__q_source AND d.__q_size = k.__q_size AND d.__q_row = k.__q_row")
     each = rows.join(keys, on).withColumn("__q_copy", F.explode(F.sequence(F.lit(1), F.col("__q_copies").cast("int"))))
     return each.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from array import array
 
 import numpy as np
@@ -168,7 +167,3 @@ def pack(docs: DataFrame, capacity: int = 2048, fill: float = 0.98, tokenizer: s
 def op9_pack_harmonic(spark, sf_dir):
     found = pack(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def crc32_of(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())

@@ -325,8 +325,11 @@ def test_tokens(docs, rows, empty):
     want = collections.Counter()
     for doc, text, *_ in rows:
         pre = [tokens.MARK + w for w in split(text)]
-        want[(doc, len(pre), sum(count(w[i : i + 256]) for w in pre for i in range(0, len(w), 256)))] += 1
+        want[(doc, len(pre), sum(map(count, pre)))] += 1
     assert collections.Counter(map(tuple, tokens.count_tokens(docs).collect())) == want and tokens.count_tokens(empty).count() == 0
+    own = tokens.count_tokens(docs.where("doc_id = 0"), scores={"▁": -1.0, "w": -1.0, "▁w": -1.5, "x": -1.0}).first()
+    text = next(t for d, t, *_ in rows if d == 0)
+    assert own.n_tokens == sum(len(w) - 1 + 1 for w in split(text))  # "▁w", then a token for each other byte
 
 
 def test_tokens_of_long_words_are_not_cut(spark, tmp_path):
@@ -359,21 +362,32 @@ def test_pack(docs, rows, empty):
     odd = ["don't Stop!! it's \x1c a\x1cb <|endoftext|>x ÉTÉ, İx, ſ. ﬁ! naïve... éa 'S tHe'LL 12ab, a1. _x_ ß. ẞ ŉ, Ǆ"]
     for text in [t or "" for _, t, *_ in rows] + odd:
         assert np.frombuffer(pack.token_ids(text, pack.default_tokenizer()), "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
-    got = pack.pack(docs, capacity=64).collect()
+    got = pack.pack(docs.where("doc_id IS NULL OR doc_id <> 3"), capacity=64).collect()
     per, bins = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         per[r.doc_id].append(r)
         bins[r.sequence_id].append((r.offset, r.length))
-    for doc, pieces in per.items():
-        n = sum(d == doc for d, *_ in rows)
-        assert sum(len(p.ids) // 4 for p in pieces) == n * pieces[0].doc_tokens == sum(p.length for p in pieces)
+    assert set(per) == {d for d, *_ in rows} - {3}
+    for doc, text, *_ in rows:
+        if doc == 3:
+            continue
+        at, ids = 0, b""
+        for p in sorted(per[doc], key=lambda p: p.start):
+            assert p.start == at and len(p.ids) == 4 * p.length and p.doc_tokens == sum(x.length for x in per[doc])
+            at, ids = at + p.length, ids + p.ids
+        assert bytes(ids) == pack.token_ids(text or "", pack.default_tokenizer())
+    short = 0
     for pieces in bins.values():
         at = 0
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
         assert at <= 64
+        short += 64 - at
+    assert short < 0.1 * sum(r.length for r in got)
     assert pack.pack(empty).count() == 0
+    twice = collections.Counter((r.doc_id, r.start) for r in pack.pack(docs.where("doc_id = 3")).collect())
+    assert set(twice.values()) == {2}  # repeated rows are packed each
 
 
 def test_quality(docs, rows, empty):
@@ -389,3 +403,33 @@ def test_quality(docs, rows, empty):
     assert len(got) == len(rows) and not any(r.kept and r.base_failed for r in got) and quality.judge(empty).count() == 0
     clean = [r for r in got if r.doc_id is not None and r.doc_id < 76 and not r.base_failed]
     assert np.mean([r.kept for r in clean]) > 0.95
+
+
+def test_pipeline_stages(spark, docs, rows, tmp_path):
+    import corpus_pipeline as pipeline
+
+    toxic_rows = [(500 + i, f"{WORDS[i]} vilex {WORDS[i + 1]} vilexo {WORDS[2 * i]} vilexa", "en", "s1", 0) for i in range(60)]
+    spark.createDataFrame(rows + toxic_rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1, 0) for d in range(80)] + [(500 + i, 1, 1) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = [k for k, _ in pipeline.STAGES]
+    stage = dict(pipeline.STAGES)
+    all_docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = stage[names[0]](spark, all_docs, str(tmp_path))
+    kept = [tuple(r) for r in clean.collect()]
+    assert clean.columns == all_docs.columns
+    assert not {500 + i for i in range(60)} & {r[0] for r in kept} and len(kept) >= 0.95 * len(rows)
+
+    odd = docs.select(*all_docs.columns, F.lit(1).alias("kept"), F.lit(None).cast("string").alias("class_id"))
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    one = stage[names[1]](spark, odd, str(tmp_path))
+    assert one.columns == odd.columns and collections.Counter(norm(r.text) for r in one.collect()) == collections.Counter({norm(t) for _, t, *_ in rows})
+    two = stage[names[2]](spark, odd, str(tmp_path))
+    want = near_classes({d: t for d, t, *_ in rows if d is not None})
+    assert two.columns == odd.columns and collections.Counter(r.doc_id for r in two.collect()) == collections.Counter({*want.values(), None})
+    three = stage[names[3]](spark, odd, str(tmp_path))
+    assert three.columns == odd.columns and 1.2 < sum(len(split(r.text)) for r in three.collect()) / sum(len(split(t)) for _, t, *_ in rows) < 1.8
+    four = stage[names[4]](spark, odd, str(tmp_path)).collect()
+    assert sum(r.length for r in four) == sum(r.doc_tokens for r in four if r.start == 0)
+    for k in names:
+        assert stage[k](spark, all_docs.limit(0), str(tmp_path)).count() == 0
+    assert pipeline.run(spark, str(tmp_path)).count() > 0
