@@ -139,7 +139,8 @@ def repeats(docs: DataFrame, least: int = 50, window: int = 24, gram: int = 8, s
     """One row for each document with a repeat: doc_id, n_words, repeated_words, first_of (smallest id it repeats), and spans: words f to t, code points start to end, of."""
     all_texts = marked(docs, id_col, text_col)
     found = suffixes(all_texts, least, window, gram)
-    often = found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
+    # Written, so that the join has a plain exchange on both sides and adaptive execution splits a hot head.
+    often = materialize(found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"), "suffix-heads")
     met = materialize(found.join(often, "head").select(*_DOC, "pos", "wide"), "suffix-met")
     held = met.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark")).distinct()
     texts = materialize(all_texts.join(held, F.expr("doc_id = w_id AND mark = w_mark"), "left_semi"), "suffix-texts")
