@@ -119,9 +119,10 @@ def repeated(docs: DataFrame, gram: int = 1, window: int = 3, alone: int = 5, id
     least = gram + window - 1
     lines = materialize(line_table(docs, gram, window, alone, id_col, text_col), "line-table")
     found = lines.select("doc_id", "mark", F.inline("picks"))
-    often = lines.select(F.explode("picks.gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    spots = found.join(often, "gram").select("doc_id", "mark", F.inline("runs"))
-    first = spots.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join has a plain exchange on both sides and adaptive execution splits a hot line.
+    often = materialize(lines.select(F.explode("picks.gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "line-grams")
+    spots = materialize(found.join(often, "gram").select("doc_id", "mark", F.inline("runs")), "line-spots")
+    first = materialize(spots.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-firsts")
     later = spots.join(first, ["key", "key2"]).where("NOT (doc_id = first.doc_id AND mark = first.mark AND start = first.start)")
     later = later.select("doc_id", "mark", "start", "size", F.col("first.doc_id").alias("of"), F.col("first.mark").alias("of_mark"), F.col("first.start").alias("at"))
     links = later.groupBy("doc_id", "mark", "of", "of_mark").agg(F.collect_set(F.struct("start", "at", "size")).alias("anchors"))  # bounded by the document's lines
