@@ -18,6 +18,16 @@ def lit(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
+def looked_up(table: list[int], at: Column) -> Column:
+    """table[at]. The table is one literal in the plan, so an expression stays small however often it looks up."""
+    return F.coalesce(F.get(F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)"), at.cast("int")), lit(0))
+
+
+def lane(side: Column, q: int) -> Column:
+    """The nine bits of quadrant q."""
+    return F.shiftrightunsigned(side, 16 * q).bitwiseAND(lit(0x1FF))
+
+
 def any_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
@@ -31,12 +41,9 @@ def quadrants(parts: list[Column]) -> Column:
 
 
 def pack(side0: Column, side1: Column) -> Column:
-    """The board of two sides. Each digit is taken from all four lanes at once; a lane never carries over."""
-    parts = []
-    for i in range(9):
-        a, b = (F.shiftrightunsigned(s, i).bitwiseAND(lit(g.LANES)) for s in (side0, side1))
-        parts.append((a + b * 2) * 3**i)
-    return reduce(lambda a, b: a + b, parts)
+    """The board of two sides, from a table of a quadrant's 512 states."""
+    digits = g.ternary()
+    return quadrants([looked_up(digits, lane(side0, q)) + looked_up(digits, lane(side1, q)) * 2 for q in range(g.QUADRANTS)])
 
 
 def unpack(board: Column, side: int) -> Column:
@@ -69,7 +76,14 @@ def stones(side: Column) -> Column:
 
 
 def won(side: Column) -> Column:
-    return reduce(lambda a, b: a | b, [side.bitwiseAND(lit(m)) == lit(m) for m in g.win_masks()])
+    """Whether a side has five: some line's cells are held in every quadrant."""
+    return reduce(lambda a, b: a.bitwiseAND(b), [looked_up(g.held_lines(q), lane(side, q)) for q in range(g.QUADRANTS)]) != 0
+
+
+def completing(side: Column) -> Column:
+    """The cells, as a side, that would make a five of four."""
+    missing = [lit(m).bitwiseAND(F.bitwise_not(side)) for m in g.win_masks()]
+    return any_of([F.when(F.bit_count(m) == 1, m).otherwise(lit(0)) for m in missing])
 
 
 def rotated_won(side: Column) -> Column:

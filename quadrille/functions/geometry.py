@@ -32,6 +32,17 @@ def win_masks() -> list[int]:
     return sorted(out)
 
 
+def held_lines(q: int) -> list[int]:
+    """For each of the 512 states of quadrant q in one side, the lines of five (bits, in the order of `win_masks`) whose cells in q are all held."""
+    parts = [m >> 16 * q & 0x1FF for m in win_masks()]
+    return [sum(1 << i for i, p in enumerate(parts) if p & state == p) for state in range(512)]
+
+
+def ternary() -> list[int]:
+    """For each of the 512 states of a quadrant in one side, the sum of 3**i over its bits i."""
+    return [sum(3**i for i in range(9) if state >> i & 1) for state in range(512)]
+
+
 def quarter_turn(q: int, turns: int = 1) -> dict[int, int]:
     """Where the bits of quadrant q go in counter-clockwise quarter turns: (x, y) to (2 - y, x)."""
     out = {}
@@ -49,6 +60,12 @@ def rotations() -> list[dict[int, int]]:
     return [quarter_turn(q, t) for q in range(QUADRANTS) for t in (1, 3)]
 
 
+def turned_states(turns: int) -> list[int]:
+    """The 512 states of a quadrant in one side after quarter turns."""
+    table = quarter_turn(0, turns)
+    return [sum(1 << table[i] for i in range(9) if state >> i & 1) for state in range(512)]
+
+
 def square_symmetries() -> list[dict[int, int]]:
     """The eight symmetries of the whole board."""
     out = []

@@ -5,10 +5,11 @@ The rotation with quarter turns (r0, r1, r2, r3) is bit r0 + 4 r1 + 16 r2 of wor
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boards import lit
+from . import geometry as g
+from .boards import any_of, lane, lit, looked_up
 
 
 def _mask(group: int, keep: int) -> int:
@@ -37,3 +38,56 @@ def rmax(words: list[Column]) -> list[Column]:
 
 def popcount(words: list[Column]) -> Column:
     return sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("long")
+
+
+def with_fives(df: DataFrame, side: str, name: str) -> DataFrame:
+    """Adds name0 to name3: the rotations under which a side has five.
+
+    A rotation makes five if some line is held in all four turned quadrants. So each quadrant's held lines under its
+    four turns are looked up, met by pairs of quadrants, and the sixteen of either pair by each other. One row stays one row.
+    """
+    held = [g.held_lines(q) for q in range(g.QUADRANTS)]
+    turned = [g.turned_states(r) for r in range(4)]
+    one = df.select("*", *[looked_up([held[q][x] for x in turned[r]], lane(F.col(side), q)).alias(f"__h{q}{r}") for q in range(g.QUADRANTS) for r in range(4)])
+    both = lambda p, q: [F.col(f"__h{p}{i}").bitwiseAND(F.col(f"__h{q}{j}")).alias(f"__h{p}{q}_{i}{j}") for i in range(4) for j in range(4)]
+    two = one.select(*df.columns, *both(0, 1), *both(2, 3))
+    bit = lambda i, j, k, m: F.when(F.col(f"__h01_{i}{j}").bitwiseAND(F.col(f"__h23_{k}{m}")) != 0, lit(_signed(1 << i + 4 * j + 16 * k))).otherwise(lit(0))
+    parts = two.select(*df.columns, *[any_of([bit(i, j, k, m) for i in range(4) for j in range(4)]).alias(f"__w{k}{m}") for k in range(4) for m in range(4)])
+    return parts.select(*df.columns, *[any_of([F.col(f"__w{k}{m}") for k in range(4)]).alias(f"{name}{m}") for m in range(4)])
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def image_of(symmetry: dict[int, int]) -> list[int]:
+    """Where each rotation goes when the board is moved by a symmetry of the square first.
+
+    The quadrants' turns move with the quadrants, and a mirror turns them the other way round.
+    """
+    to = [symmetry[16 * q + 4] // 16 for q in range(g.QUADRANTS)]
+    corner, after = symmetry[0], symmetry[g.quarter_turn(0)[0]]
+    turn = g.quarter_turn(to[0])
+    back = turn[corner] != after
+    out = []
+    for i in range(256):
+        digits = [i >> 2 * q & 3 for q in range(g.QUADRANTS)]
+        out.append(sum(((4 - digits[q]) % 4 if back else digits[q]) << 2 * to[q] for q in range(g.QUADRANTS)))
+    return out
+
+
+def permuted(words: list[Column], to: list[int]) -> list[Column]:
+    """The set with each rotation i replaced by to[i]: bits that move alike move together."""
+    groups: dict[tuple[int, int, int], int] = {}
+    for i, j in enumerate(to):
+        key = (j // 64, i // 64, j % 64 - i % 64)
+        groups[key] = groups.get(key, 0) | 1 << i % 64
+    out = []
+    for k in range(4):
+        parts = []
+        for (dst, src, shift), mask in sorted(groups.items()):
+            if dst == k:
+                part = words[src].bitwiseAND(lit(_signed(mask)))
+                parts.append(part if not shift else F.shiftleft(part, shift) if shift > 0 else F.shiftrightunsigned(part, -shift))
+        out.append(any_of(parts))
+    return out

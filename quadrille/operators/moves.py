@@ -1,12 +1,14 @@
-"""Moves as rows."""
+"""Moves as rows, and what all moves of a position add up to without a row for each."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.boards import lit, moved
+from ..functions.boards import any_of, completing, lane, lit, looked_up, moved, stones, won
 
 
 def empty_bits(us: Column, them: Column) -> Column:
@@ -25,3 +27,43 @@ def turns(df: DataFrame, placed: str = "placed", them: str = "them") -> DataFram
     """A row for each of the eight turns: all columns, `turn`, `mine` and `theirs` after it."""
     pair = [F.struct(F.lit(i).alias("turn"), moved(F.col(placed), t).alias("mine"), moved(F.col(them), t).alias("theirs")) for i, t in enumerate(g.rotations())]
     return df.select("*", F.inline(F.array(*pair)))
+
+
+def summary(df: DataFrame, us: str, them: str) -> DataFrame:
+    """df's columns with moves (a stone and a turn), boards (different ones they lead to), checksum (exclusive or of
+    the boards, their side first) and over (moves that leave a five), for each row of df, which must differ from all others.
+
+    Moves that put a stone in the same quadrant give the same board only if they turn the same
+    quadrant to the same state, or quadrants that a turn leaves as they are. So boards follow from each quadrant's own states.
+    Stones make five where they hold the last cell of a line of the turned side.
+    """
+    digits, quads = g.ternary(), range(g.QUADRANTS)
+    turned = {d: g.turned_states(d) for d in (0, 1, 3)}
+    states = []
+    for q in quads:
+        mine, theirs = lane(F.col(us), q), lane(F.col(them), q)
+        states.append(mine.bitwiseOR(theirs).alias(f"__f{q}"))
+        states += [(looked_up([digits[x] for x in t], theirs) + looked_up([digits[x] for x in t], mine) * 2).alias(f"__v{q}_{d}") for d, t in turned.items()]
+    rows = df.select("*", *states, *[(9 - F.bit_count(lane(F.col(us).bitwiseOR(F.col(them)), q))).alias(f"__n{q}") for q in quads])
+
+    def placed(q: int, turn: int) -> list[Column]:
+        """The quadrant's states after a stone in each cell and a turn; null where the cell is taken."""
+        return [F.when(F.col(f"__f{q}").bitwiseAND(lit(1 << i)) == 0, F.col(f"__v{q}_{turn}") + 2 * digits[turned[turn][1 << i]]) for i in range(9)]
+
+    rows = rows.select("*", *[F.array(*placed(q, 1), *placed(q, 3)).alias(f"__p{q}") for q in quads])
+    counts, sums = [], []
+    for q in quads:
+        others = [p for p in quads if p != q]
+        still = {p: F.col(f"__v{p}_0") == F.col(f"__v{p}_1") for p in others}
+        ways = sum(F.when(still[p], 0).when(F.col(f"__v{p}_1") == F.col(f"__v{p}_3"), 1).otherwise(2) for p in others)
+        own = F.when(still[others[0]] | still[others[1]] | still[others[2]], F.array_union(f"__p{q}", F.array(*placed(q, 0)))).otherwise(F.array_distinct(f"__p{q}"))
+        counts.append(F.col(f"__n{q}") * ways + F.size(own) - F.when(F.col(f"__n{q}") < 9, 1).otherwise(0))  # without the null
+        # Every other state of this quadrant comes up an even number of times.
+        odd = F.when(sum(F.col(f"__n{p}") for p in others) % 2 == 1, F.col(f"__v{q}_1").bitwiseXOR(F.col(f"__v{q}_3"))).otherwise(lit(0))
+        sums.append(reduce(lambda x, y: x.bitwiseXOR(y), [F.coalesce(F.get(f"__p{q}", F.lit(i)), lit(0)) for i in range(18)], odd))
+    total = sum(F.col(f"__n{q}") for q in quads)
+    rows = rows.select(*df.columns, (total * 8).cast("long").alias("moves"), sum(counts).cast("long").alias("boards"), any_of([F.shiftleft(x, 16 * q) for q, x in enumerate(sums)]).alias("checksum"))
+    each = turns(rows.where("moves > 0"), us, them)
+    each = each.withColumn("open", lit(g.FULL).bitwiseAND(F.bitwise_not(F.col("mine").bitwiseOR(F.col("theirs")))))
+    over = F.when(won(F.col("mine")) | won(F.col("theirs")), stones(F.col("open"))).otherwise(stones(completing(F.col("mine")).bitwiseAND(F.col("open"))))
+    return each.groupBy(*rows.columns).agg(F.sum(over).alias("over"))

@@ -52,7 +52,7 @@ def solve(roots: DataFrame, empties: int) -> tuple[DataFrame, DataFrame]:
         levels.append(found)
         level = found.where("value IS NULL").select("key", F.col("next_us").alias("us"), F.col("next_them").alias("them")).distinct()
     children = None
-    for found in reversed(levels):
+    for n, found in enumerate(reversed(levels), 1):
         valued = best(found, children)
-        children = valued.groupBy(*STATE).agg(F.max("value").alias("value"))
+        children = materialize(valued.groupBy(*STATE).agg(F.max("value").alias("value")), f"values-{n}")
     return children, valued.select(*STATE, "cell", "turn", "value")

@@ -60,6 +60,22 @@ _SYMMETRIC = " UNION ALL ".join(f"SELECT key, a * 0 + {t.pack('a', 'b')} AS boar
 CANONICAL_D4 = f"WITH {P}, r AS ({_SYMMETRIC}) SELECT key, min(board) AS canonical, count(DISTINCT board) AS orbit FROM r GROUP BY key"
 
 
+def canonical_witness(spark, sf_dir):
+    """The least board of the eight symmetries with the first symmetry that gives it, and the same for its section."""
+    p = _positions(spark, sf_dir)
+    p = p.select("key", "s0", "s1", F.array(*b.symmetric_boards(F.col("s0"), F.col("s1"))).alias("boards"))
+    parts = sec.counts(F.col("s0"), F.col("s1"))
+    images = F.array(*[sec.sig([parts[x] for x in source]) for source in g.quadrant_sources()])
+    p = p.select("key", "boards", images.alias("sections"))
+    first = lambda c: (F.array_position(c, F.array_min(c)) - 1).cast("long")
+    return p.select("key", F.array_min("boards").alias("canonical"), first("boards").alias("symmetry"), F.array_min("sections").alias("section"), first("sections").alias("section_symmetry"))
+
+
+_WITNESS = " UNION ALL ".join(f"SELECT key, {i} AS i, {t.pack('a', 'b')} AS board, {t.sig([t.counts()[x] for x in source])} AS sig FROM (SELECT key, s0, s1, {t.moved('s0', m)} AS a, {t.moved('s1', m)} AS b FROM p)" for i, (m, source) in enumerate(zip(g.square_symmetries(), g.quadrant_sources(), strict=True)))
+CANONICAL_WITNESS = f"""WITH {P}, r AS ({_WITNESS}), m AS (SELECT *, min(board) OVER w AS canonical, min(sig) OVER w AS section FROM r WINDOW w AS (PARTITION BY key))
+SELECT key, canonical, min(i) FILTER (board = canonical)::BIGINT AS symmetry, section, min(i) FILTER (sig = section)::BIGINT AS section_symmetry FROM m GROUP BY key, canonical, section"""
+
+
 def canonical_turns(spark, sf_dir):
     """The least board of all 2048 symmetries, and how many turns of quadrants leave the position as it is."""
     p = b.with_super_canonical(_positions(spark, sf_dir), "s0", "s1", "canonical")
@@ -180,9 +196,7 @@ PLACEMENTS_SUMMARY = f"WITH {P}, {_CELLS} SELECT key, count(*) AS moves, sum({t.
 
 def moves_summary(spark, sf_dir):
     """Each position's full moves, stone and turn: how many, how many different boards, a checksum, and how many leave a five."""
-    rows = moves.turns(moves.placements(_positions(spark, sf_dir), "s0", "s1"), "placed", "s1")
-    rows = rows.select("key", b.pack(F.col("theirs"), F.col("mine")).alias("board"), (b.won(F.col("mine")) | b.won(F.col("theirs"))).cast("long").alias("over"))
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("moves"), F.count_distinct("board").alias("boards"), F.bit_xor("board").alias("checksum"), F.sum("over").alias("over"))
+    return moves.summary(_positions(spark, sf_dir), "s0", "s1").drop("s0", "s1")
 
 
 _MOVES = "m AS (" + " UNION ALL ".join(f"SELECT key, {t.moved('(s0 | cell)', r)} AS a, {t.moved('s1', r)} AS b FROM c" for r in g.rotations()) + ")"
@@ -232,6 +246,7 @@ QUERIES = {
     "board_status": (board_status, BOARD_STATUS),
     "rotated_status": (rotated_status, ROTATED_STATUS),
     "canonical_d4": (canonical_d4, CANONICAL_D4),
+    "canonical_witness": (canonical_witness, CANONICAL_WITNESS),
     "canonical_turns": (canonical_turns, CANONICAL_TURNS),
     "distinct_positions": (distinct_positions, DISTINCT_POSITIONS),
     "section_profile": (section_profile, SECTION_PROFILE),

@@ -1,4 +1,4 @@
-"""Queries on merged bits and on exact values."""
+"""Queries on sets of rotations, on merged bits and on exact values."""
 
 from __future__ import annotations
 
@@ -6,11 +6,115 @@ from pyspark.sql import functions as F
 
 from ..functions import boards as b
 from ..functions import geometry as g
+from ..functions import sections as sec
+from ..functions import supers
 from ..plans.retrograde import solve
 from ..plans.tables import materialize
-from ..sources.positions import endgames, table, write_names
+from ..sources.positions import endgames, positions, table, write_names
 from . import sqltext as t
 
+
+def rotation_sets(spark, sf_dir):
+    """For each customer's position with a five somewhere: rotations where the first side has five, and those one turn away from one."""
+    p = positions(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("key", "s0").distinct()
+    # Written first: pushed down, the filter would repeat the sets' expressions in full.
+    w = materialize(supers.with_fives(p, "s0", "w"), "rotation-sets").where(" OR ".join(f"w{k} <> 0" for k in range(4)))
+    words = [F.col(f"w{k}") for k in range(4)]
+    w = w.select("*", *[c.alias(f"r{k}") for k, c in enumerate(supers.rmax(words))])
+    near = [F.col(f"r{k}") for k in range(4)]
+    return w.select("key", supers.popcount(words).alias("fives"), supers.popcount(near).alias("near"), supers.popcount([x.bitwiseAND(y) for x, y in zip(words, near, strict=True)]).alias("both"), *[F.bit_count(x).cast("long").alias(f"n{k}") for k, x in enumerate(near)])
+
+
+def _lane(q: int) -> str:
+    return "CASE r" + str(q) + " " + " ".join(f"WHEN {k} THEN {t.moved('s0', g.quarter_turn(q, k))} & {g.LANE[q]}" for k in range(4)) + " END"
+
+
+ROTATION_SETS = f"""WITH {t.positions("customer", "c_custkey")}, k AS (SELECT DISTINCT key, s0 FROM p),
+r AS (SELECT i, i & 3 AS r0, (i >> 2) & 3 AS r1, (i >> 4) & 3 AS r2, i >> 6 AS r3 FROM (SELECT unnest(range(256)) AS i)),
+w AS (SELECT key, i, r0, r1, r2, r3 FROM (SELECT key, r.*, ({_lane(0)}) | ({_lane(1)}) | ({_lane(2)}) | ({_lane(3)}) AS side FROM k, r) WHERE {t.won("side")}),
+e AS (SELECT a.i, b.i AS j FROM r a, r b WHERE CASE WHEN a.r0 = b.r0 THEN 0 WHEN (a.r0 - b.r0 + 4) % 4 = 2 THEN 9 ELSE 1 END + CASE WHEN a.r1 = b.r1 THEN 0 WHEN (a.r1 - b.r1 + 4) % 4 = 2 THEN 9 ELSE 1 END + CASE WHEN a.r2 = b.r2 THEN 0 WHEN (a.r2 - b.r2 + 4) % 4 = 2 THEN 9 ELSE 1 END + CASE WHEN a.r3 = b.r3 THEN 0 WHEN (a.r3 - b.r3 + 4) % 4 = 2 THEN 9 ELSE 1 END = 1),
+n AS (SELECT DISTINCT key, e.i FROM w JOIN e ON w.i = e.j),
+a AS (SELECT key, count(*) AS fives FROM w GROUP BY key),
+c AS (SELECT key, count(*) AS near, {", ".join(f"count(*) FILTER (i // 64 = {k}) AS n{k}" for k in range(4))} FROM n GROUP BY key),
+d AS (SELECT key, count(*) AS "both" FROM n JOIN w USING (key, i) GROUP BY key)
+SELECT key, fives, near, coalesce("both", 0) AS "both", n0, n1, n2, n3 FROM a JOIN c USING (key) LEFT JOIN d USING (key)"""
+
+
+def _customers(spark, sf_dir):
+    return positions(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").distinct()
+
+
+_TURNED = f"""k AS (SELECT DISTINCT key, s0, s1 FROM p), r AS (SELECT i, i & 3 AS r0, (i >> 2) & 3 AS r1, (i >> 4) & 3 AS r2, i >> 6 AS r3 FROM (SELECT unnest(range(256)) AS i))"""
+_ANY_SIDE = lambda side: " | ".join(f"({_lane(q)})" for q in range(4)).replace("s0", side)
+
+
+def any_turn_status(spark, sf_dir):
+    """Whether either side of each customer's position has five after any turns of quadrants at all."""
+    w = supers.with_fives(supers.with_fives(_customers(spark, sf_dir), "s0", "a"), "s1", "b")
+    some = lambda x: " OR ".join(f"{x}{k} <> 0" for k in range(4))
+    return w.select("key", F.expr(some("a")).alias("first"), F.expr(some("b")).alias("second"))
+
+
+ANY_TURN_STATUS = f"""WITH {t.positions("customer", "c_custkey")}, {_TURNED}, f AS (SELECT key, {_ANY_SIDE("s0")} AS a, {_ANY_SIDE("s1")} AS b FROM k, r)
+SELECT key, bool_or({t.won("a")}) AS first, bool_or({t.won("b")}) AS second FROM f GROUP BY key"""
+
+
+def stabilizer_counts(spark, sf_dir):
+    """By section: rotations that give either side five, and all rotations, each different board counted once, and times the section's images."""
+    p = b.with_turned(_customers(spark, sf_dir), "s0", "s1", "t")
+    parts = sec.counts(F.col("s0"), F.col("s1"))
+    p = p.select("key", "s0", "s1", b.stabilizer_log([F.col(f"t{i}") for i in range(4)]).alias("shift"), sec.standard(parts).alias("section"), sec.images(parts).alias("images"))
+    w = supers.with_fives(supers.with_fives(p, "s0", "a"), "s1", "b")
+    shifted = lambda x: F.call_function("shiftright", x, F.col("shift"))
+    w = w.select("section", "images", shifted(supers.popcount([F.col(f"a{k}") for k in range(4)])).alias("first"), shifted(supers.popcount([F.col(f"b{k}") for k in range(4)])).alias("second"), shifted(b.lit(256)).alias("boards"))
+    return w.groupBy("section").agg(F.sum("first").alias("first"), F.sum("second").alias("second"), F.sum("boards").alias("boards"), F.sum(F.col("boards") * F.col("images")).alias("weighted"))
+
+
+STABILIZER_COUNTS = f"""WITH {t.positions("customer", "c_custkey")}, {_TURNED}, f AS (SELECT key, s0, s1, {_ANY_SIDE("s0")} AS a, {_ANY_SIDE("s1")} AS b FROM k, r),
+d AS (SELECT DISTINCT key, s0, s1, a, b FROM f),
+c AS (SELECT key, s0, s1, sum({t.won("a")}::BIGINT)::BIGINT AS first, sum({t.won("b")}::BIGINT)::BIGINT AS second, count(*) AS boards FROM d GROUP BY ALL)
+SELECT {t.standard(t.counts())} AS section, sum(first)::BIGINT AS first, sum(second)::BIGINT AS second, sum(boards)::BIGINT AS boards, sum(boards * {t.images(t.counts())})::BIGINT AS weighted FROM c GROUP BY 1"""
+
+
+def rotation_set_images(spark, sf_dir):
+    """The rotations that give the first side of each customer's position five, for the eight images of the board: the set itself is permuted."""
+    w = supers.with_fives(_customers(spark, sf_dir), "s0", "w")
+    words = [F.col(f"w{k}") for k in range(4)]
+    each = [F.struct(b.lit(i).alias("symmetry"), *[c.alias(f"w{k}") for k, c in enumerate(supers.permuted(words, supers.image_of(m)))]) for i, m in enumerate(g.square_symmetries())]
+    return w.select("key", F.inline(F.array(*each)))
+
+
+_IMAGES = " UNION ALL ".join(f"SELECT key, {i} AS symmetry, {t.moved('s0', m)} AS s0 FROM (SELECT DISTINCT key, s0 FROM p)" for i, m in enumerate(g.square_symmetries()))
+_WORD = lambda k: f"(CASE WHEN h{k} >= 9223372036854775808 THEN h{k} - 18446744073709551616 ELSE h{k} END)::BIGINT AS w{k}"
+ROTATION_SET_IMAGES = f"""WITH {t.positions("customer", "c_custkey")}, {_TURNED}, m AS ({_IMAGES}), f AS (SELECT key, symmetry, i, {_ANY_SIDE("s0")} AS a FROM m, r),
+s AS (SELECT key, symmetry, {", ".join(f"coalesce(sum(1::HUGEINT << (i & 63)::INT) FILTER (i // 64 = {k} AND {t.won('a')}), 0) AS h{k}" for k in range(4))} FROM f GROUP BY key, symmetry)
+SELECT key, symmetry::BIGINT AS symmetry, {", ".join(_WORD(k) for k in range(4))} FROM s"""
+
+
+def closeness_any_turns(spark, sf_dir):
+    """How close each side of each customer's position is to a line of five, quadrants turned freely: the part of a line in a quadrant takes that quadrant's best turn."""
+    tables = [{x: y for q in range(4) for x, y in g.quarter_turn(q, r).items()} for r in range(4)]
+    masks = [[[sum(1 << table[x] for x in g.BITS if m >> x & 1 and x // 16 == q) for table in tables] for q in range(4)] for m in g.win_masks()]
+    rows = _customers(spark, sf_dir).select("key", "s0", "s1", F.explode(F.expr("cast(array(" + ",".join("array(" + ",".join("array(" + ",".join(f"{x}L" for x in part) + ")" for part in line) + ")" for line in masks) + ") as array<array<array<bigint>>>)")).alias("line"))
+
+    def cost(us: str, them: str):
+        part = lambda m: F.when(F.col(them).bitwiseAND(m) != 0, 6).otherwise(F.bit_count(m.bitwiseAND(F.bitwise_not(F.col(us)))))
+        return F.least(sum(F.least(*[part(F.col("line")[q][r]) for r in range(4)]) for q in range(4)), F.lit(6))
+
+    rows = rows.select("key", cost("s0", "s1").alias("d0"), cost("s1", "s0").alias("d1"))
+    best = rows.groupBy("key").agg(*[F.min(F.struct(F.col(d).alias("least"))).alias(d) for d in ("d0", "d1")], *[F.count_if(F.col(d) == k).alias(f"{d}_{k}") for d in ("d0", "d1") for k in range(6)])
+    of = lambda d: F.coalesce(*[F.when(F.col(f"{d}.least") == k, F.lit((6 - k) * 65536) + F.col(f"{d}_{k}")) for k in range(6)], b.lit(0))
+    return best.select("key", of("d0").alias("close0"), of("d1").alias("close1"))
+
+
+def _any_close(us: str, them: str) -> str:
+    return f"SELECT key, CASE WHEN min(d) = 6 THEN 0 ELSE (6 - min(d)) * 65536 + count(*) FILTER (d = low) END AS close FROM (SELECT *, min(d) OVER (PARTITION BY key) AS low FROM (SELECT key, mask, min(CASE WHEN ({them} & mask) <> 0 THEN 6 ELSE 5 - bit_count({us} & mask) END) AS d FROM f, (SELECT unnest([{', '.join(map(str, g.win_masks()))}]) AS mask) GROUP BY key, mask)) GROUP BY key"
+
+
+CLOSENESS_ANY_TURNS = f"""WITH {t.positions("customer", "c_custkey")}, {_TURNED}, f AS (SELECT key, {_ANY_SIDE("s0")} AS a, {_ANY_SIDE("s1")} AS b FROM k, r), x AS ({_any_close("a", "b")}), y AS ({_any_close("b", "a")})
+SELECT key, x.close::BIGINT AS close0, y.close::BIGINT AS close1 FROM x JOIN y USING (key)"""
+
+
 def or_accumulate(spark, sf_dir):
     """Bits that lines of an order contribute, merged by OR, AND and XOR: partial and final aggregation."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.call_function("shiftleft", b.lit(1), (F.col("l_partkey") % 62).cast("int")).alias("bit"))
@@ -77,6 +181,11 @@ def value_lookup(spark, sf_dir):
 VALUE_LOOKUP = f"""WITH {_ONE} SELECT key, {t.pack("us", "them")}::VARCHAR AS name, '{{"value":' || max(value) || ',"turns":[' || string_agg(value::VARCHAR, ',' ORDER BY coalesce(turn, -1)) || ']}}' AS answer FROM v GROUP BY key, us, them"""
 
 QUERIES = {
+    "rotation_sets": (rotation_sets, ROTATION_SETS),
+    "any_turn_status": (any_turn_status, ANY_TURN_STATUS),
+    "stabilizer_counts": (stabilizer_counts, STABILIZER_COUNTS),
+    "rotation_set_images": (rotation_set_images, ROTATION_SET_IMAGES),
+    "closeness_any_turns": (closeness_any_turns, CLOSENESS_ANY_TURNS),
     "or_accumulate": (or_accumulate, OR_ACCUMULATE),
     "retrograde_two": (retrograde_two, RETROGRADE_TWO),
     "retrograde_three": (retrograde_three, None),

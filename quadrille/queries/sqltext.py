@@ -8,16 +8,20 @@ from ..sources.positions import MULTIPLIER, PRIME
 BIT = "(16 * (2 * (i // 18) + (i % 6) // 3) + 3 * ((i // 6) % 3) + i % 3)"
 
 
+def hashed(key: str) -> str:
+    return f"((({key} % {PRIME}) * ((2 * i + 1) * {MULTIPLIER} % {PRIME})) % {PRIME})"
+
+
 def positions(table: str, key: str) -> str:
     """CTE p(key, s0, s1)."""
-    return f"""h AS (SELECT rn, {key}::BIGINT AS key, i, {BIT} AS bit, (({key} * (2 * i + 1) * {MULTIPLIER}) % {PRIME}) % 3 AS c FROM (SELECT *, row_number() OVER () AS rn FROM {table}), (SELECT unnest(range(36)) AS i)),
+    return f"""h AS (SELECT rn, {key}::BIGINT AS key, i, {BIT} AS bit, {hashed(key)} % 3 AS c FROM (SELECT *, row_number() OVER () AS rn FROM {table}), (SELECT unnest(range(36)) AS i)),
 p AS (SELECT key, sum(CASE WHEN c = 1 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS s0, sum(CASE WHEN c = 2 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS s1 FROM h GROUP BY rn, key)"""
 
 
 def endgames(table: str, key: str, empties: int) -> str:
     """CTE r(key, us, them)."""
     us, them = (1, 0) if (36 - empties) % 2 else (0, 1)
-    return f"""h AS (SELECT {key}::BIGINT AS key, {BIT} AS bit, row_number() OVER (PARTITION BY {key} ORDER BY ({key} * (2 * i + 1) * {MULTIPLIER}) % {PRIME}, i) - 1 - {empties} AS j FROM {table}, (SELECT unnest(range(36)) AS i)),
+    return f"""h AS (SELECT {key}::BIGINT AS key, {BIT} AS bit, row_number() OVER (PARTITION BY {key} ORDER BY {hashed(key)}, i) - 1 - {empties} AS j FROM {table}, (SELECT unnest(range(36)) AS i)),
 r AS (SELECT key, coalesce(sum(1::BIGINT << bit) FILTER (j >= 0 AND j % 2 = {us}), 0)::BIGINT AS us, coalesce(sum(1::BIGINT << bit) FILTER (j >= 0 AND j % 2 = {them}), 0)::BIGINT AS them FROM h GROUP BY key)"""
 
 

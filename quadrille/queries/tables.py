@@ -10,7 +10,7 @@ from ..operators import intervals, shards
 from ..sources.positions import table
 from ..streaming import events as stream
 
-BITS, SHARDS = 31, 64
+BITS, SHARDS = 48, 64  # keys under 2**48
 
 
 def shard_permute(spark, sf_dir):
@@ -65,12 +65,13 @@ def offset_join(spark, sf_dir):
     inside = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, -1)
     spots = parts.withColumn("start", F.coalesce(F.sum("size").over(inside), lit(0))).join(base, F.col("p_brand") == F.col("brand"))
     spots = spots.select("p_partkey", (F.col("base") + F.col("start")).alias("lo"), (F.col("base") + F.col("start") + F.col("size")).alias("hi"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 65521).alias("linear"))
+    whole = parts.agg(F.sum("size")).first()[0] or 1
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % lit(whole)).alias("linear"))
     return intervals.locate(lines, spots, 256).select("l_orderkey", "l_linenumber", "linear", "p_partkey", (F.col("linear") - F.col("lo")).alias("within"))
 
 
 OFFSET_JOIN = """WITH s AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_brand, p_partkey) - p_size AS lo, sum(p_size) OVER (ORDER BY p_brand, p_partkey) AS hi FROM part),
-l AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7919 + l_linenumber * 104729) % 65521 AS linear FROM lineitem)
+l AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7919 + l_linenumber * 104729) % (SELECT greatest(sum(p_size), 1)::BIGINT FROM part) AS linear FROM lineitem)
 SELECT l_orderkey, l_linenumber, linear, p_partkey, (linear - lo)::BIGINT AS within FROM l JOIN s ON linear >= lo AND linear < hi"""
 
 

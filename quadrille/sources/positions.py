@@ -1,7 +1,7 @@
 """Positions derived from the keys of any table, names of positions, and arrays in .npy files.
 
 Both engines can repeat the derivation: the cell with number i (6 x + y) of key k hashes to
-k * (2 i + 1) * 2654435 modulo 1000003.
+k * (2 i + 1) * 2654435 modulo 1000003, both factors reduced first, so no key overflows.
 """
 
 from __future__ import annotations
@@ -16,14 +16,20 @@ from ..functions import geometry as g
 from ..functions.boards import lit, valid_board
 
 MULTIPLIER, PRIME = 2654435, 1000003
+HUGE = "spark.sql.codegen.hugeMethodLimit"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Expressions of boards can make generated methods that HotSpot, which compiles none over 8,000 bytes, would leave
+    interpreted; with this limit Spark splits them instead. A session that has set its own keeps it.
+    """
+    if spark.conf.get(HUGE, "65535") == "65535":
+        spark.conf.set(HUGE, "8000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cell_hash(key: Column, i: int) -> Column:
-    return (key * lit((2 * i + 1) * MULTIPLIER)) % lit(PRIME)
+    return (key % lit(PRIME)) * lit((2 * i + 1) * MULTIPLIER % PRIME) % lit(PRIME)
 
 
 def positions(df: DataFrame, key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Geometry, column functions and backward solving against plain Python."""
 
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -7,9 +8,10 @@ from pyspark.sql import functions as F
 from quadrille.functions import boards as b
 from quadrille.functions import geometry as g
 from quadrille.functions import supers
-from quadrille.operators import intervals, shards
+from quadrille.operators import intervals, moves, shards
 from quadrille.plans.retrograde import solve
-from quadrille.sources.positions import read_names, read_npy
+from quadrille.sources.positions import positions, read_names, read_npy
+from quadrille.streaming import events
 
 
 def turned(side, table):
@@ -99,15 +101,17 @@ def value(us, them):
 
 def test_backward_solving_matches_negamax(spark):
     rng = random.Random(3)
-    roots = []
-    while len(roots) < 6:
-        cells = rng.sample(g.BITS, 36)[2:]
-        us, them = sum(1 << x for x in cells[:17]), sum(1 << x for x in cells[17:])
-        if not five(us) and not five(them):
-            roots.append((len(roots), us, them))
-    values, moves = solve(spark.createDataFrame(roots, "key long, us long, them long"), 2)
-    assert {r.key: r.value for r in values.collect()} == {k: value(u, t) for k, u, t in roots}
-    assert {r.key: r.value for r in moves.groupBy("key").agg(F.max("value").alias("value")).collect()} == {k: value(u, t) for k, u, t in roots}
+    for empties, count in ((2, 6), (4, 1)):
+        roots = []
+        while len(roots) < count:
+            cells = rng.sample(g.BITS, 36)[empties:]
+            half = len(cells) // 2
+            us, them = sum(1 << x for x in cells[:half]), sum(1 << x for x in cells[half:])
+            if not five(us) and not five(them):
+                roots.append((len(roots), us, them))
+        values, moves = solve(spark.createDataFrame(roots, "key long, us long, them long"), empties)
+        assert {r.key: r.value for r in values.collect()} == {k: value(u, t) for k, u, t in roots}
+        assert {r.key: r.value for r in moves.groupBy("key").agg(F.max("value").alias("value")).collect()} == {k: value(u, t) for k, u, t in roots}
 
 
 def test_permutation_and_intervals(spark):
@@ -128,3 +132,93 @@ def test_names_and_arrays(spark, tmp_path):
     assert got["99999999999999999999"][2] is False and got["x"][2] is False and got[None][2] is False and got["65535"][2] is False
     np.save(tmp_path / "a.npy", np.arange(6).reshape(3, 2))
     assert sorted(tuple(r) for r in read_npy(spark, str(tmp_path), ["p", "q"]).collect()) == [(0, 1), (2, 3), (4, 5)]
+
+
+def test_counts_of_different_boards(spark):
+    # Boards with 0 to 3 stones, as they stand, up to the square's symmetries, and up to turns of quadrants too.
+    want = {0: (1, 1, 1), 1: (36, 6, 3), 2: (1260, 165, 30), 3: (21420, 2715, 227)}
+    rows = []
+    for n in want:
+        for cells in itertools.combinations(g.BITS, n):
+            for first in itertools.combinations(cells, (n + 1) // 2):
+                rows.append((n, sum(1 << x for x in first), sum(1 << x for x in cells if x not in first)))
+    df = spark.createDataFrame(rows, "n int, a long, c long")
+    df = b.with_super_canonical(df.withColumn("mod8", b.canonical(F.col("a"), F.col("c"))), "a", "c", "mod2048")
+    got = df.groupBy("n").agg(F.count(F.lit(1)), F.count_distinct("mod8"), F.count_distinct("mod2048")).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == want
+
+
+def all_turns(side, i):
+    for q in range(4):
+        side = turned(side, g.quarter_turn(q, i >> 2 * q & 3))
+    return side
+
+
+def test_sets_of_rotations(spark):
+    sides = [s for pair in random_sides(random.Random(5), 12) for s in pair]
+    w = supers.with_fives(spark.createDataFrame([(s,) for s in sides], "s long"), "s", "w")
+    words = [F.col(f"w{k}") for k in range(4)]
+    images = [F.array(*supers.permuted(words, supers.image_of(m))).alias(f"i{k}") for k, m in enumerate(g.square_symmetries())]
+    for r in w.select("s", F.array(*words).alias("w"), *images).collect():
+        held = lambda x: {i for i in range(256) if x[i // 64] >> i % 64 & 1}
+        assert held(r.w) == {i for i in range(256) if five(all_turns(r.s, i))}
+        for k, m in enumerate(g.square_symmetries()):
+            assert held(r[f"i{k}"]) == {i for i in range(256) if five(all_turns(turned(r.s, m), i))}
+
+
+def test_moves_add_up(spark):
+    rng = random.Random(6)
+    rows = [(k, a, c) for k, (a, c) in enumerate(random_sides(rng, 25))]
+    rows += [(100, 0, 0), (101, g.LANE[0], g.LANE[1] | g.LANE[2]), (102, 1 << 4, 1 << 20), (103, g.FULL, 0)]
+    got = {r.key: r for r in moves.summary(spark.createDataFrame(rows, "key long, a long, c long"), "a", "c").collect()}
+    for key, a, c in rows:
+        boards, over = [], 0
+        for x in g.BITS:
+            if not (a | c) >> x & 1:
+                for t in g.rotations():
+                    mine, theirs = turned(a | 1 << x, t), turned(c, t)
+                    boards.append(packed(theirs, mine))
+                    over += five(mine) or five(theirs)
+        if not boards:
+            assert key not in got
+            continue
+        check = 0
+        for x in boards:
+            check ^= x
+        assert tuple(got[key])[3:] == (len(boards), len(set(boards)), check, over)
+
+
+def test_positions_of_large_keys(spark):
+    assert positions(spark.createDataFrame([(6 * 10**10,), (9 * 10**18,)], "k long"), "k").count() == 2
+
+
+def test_streams_over_batches_and_a_restart(spark, tmp_path):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    kinds = ["view", "click", "purchase"]
+    rows = [(i, at(m), u, kinds[i % 3]) for i, (m, u) in enumerate([(0, 1), (20, 1), (100, 1), (5, 2), (45, 1), (300, 2), (101, 1), (7, 3)])]
+    path = tmp_path / "in"
+    put = lambda part: spark.createDataFrame(part, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.mode("append").parquet(str(path))
+
+    def want(part):
+        out = []
+        for u in {r[2] for r in part}:
+            times = sorted(r[1] for r in part if r[2] == u)
+            groups = [[times[0]]]
+            for x in times[1:]:
+                if x - groups[-1][-1] < datetime.timedelta(minutes=30):
+                    groups[-1].append(x)
+                else:
+                    groups.append([x])
+            out += [(u, y[0], y[-1], len(y)) for y in groups]
+        return sorted(out)
+
+    put(rows[:3])
+    put(rows[3:5])
+    get = lambda: sorted(tuple(r) for r in events.sessions(spark, str(path), folder=f"{tmp_path}/s", files=1).collect())
+    assert get() == want(rows[:5])
+    put(rows[5:])
+    assert get() == want(rows) == get()
+    seen = {r.user_id: (r.seen, r.complete) for r in events.arrivals(spark, str(path), kinds, files=1).collect()}
+    assert seen == {u: (s := sum({1 << kinds.index(r[3]) for r in rows if r[2] == u}), s == 7) for u in (1, 2, 3)}
