@@ -246,7 +246,7 @@ def fit_chain(texts: list[str], toxic: list[int], weight: list[float], least: in
         against += np.bincount(np.unique(w.docs()[token] * len(bad) + place) % len(bad), minlength=len(bad))
     dear = weight[y == 0].mean() / weight[y == 1].mean()
     share = n_bad / (n_bad + against * dear + 1)
-    known = bad[(n_bad >= least) & (share >= max(0.5, 3 * rate))]
+    known = bad[(n_bad >= least) & (share >= min(0.9, max(0.5, 3 * rate)))]
     if not len(known):
         return flat
     # Copies of one text would make any of their words look toxic or clean, so occurrences count once for each pair of neighbours.
@@ -260,7 +260,7 @@ def fit_chain(texts: list[str], toxic: list[int], weight: list[float], least: in
             seen[label].append(np.unique(np.stack([mixed(known[place[of]] + mixed(around[token[of]])), place[of].astype(U)], axis=1), axis=0))
     times = [np.bincount(np.unique(np.concatenate(seen[k]), axis=0)[:, 1].astype(int), minlength=len(known)) for k in (0, 1)]
     share = times[1] / (times[1] + times[0] * dear + 1)
-    pick = (times[1] >= least) & (share >= max(0.5, 3 * rate))
+    pick = (times[1] >= least) & (share >= min(0.9, max(0.5, 3 * rate)))
     known, sure = known[pick], share[pick] >= 0.75
     if not len(known):
         return flat
