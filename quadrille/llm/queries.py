@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mix, near, pack, quality, secrets, suffix, tokens, toxic
+from . import exact, languages, lines, merkle, mix, near, pack, quality, secrets, suffix, tokens, toxic
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_pack_harmonic": pack.op9_pack_harmonic,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_language_id": languages.op12_language_id,
 }
 
 SQL = {

@@ -21,6 +21,10 @@ IS_LETTER = np.zeros(256, dtype=bool)  # letters, digits, and all beyond ASCII
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     IS_LETTER[_a:_b] = True
 
+#: ASCII capitals as small letters, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
@@ -107,13 +111,14 @@ def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IS_WORD) -
     return Words(data, offsets, start, end, np.searchsorted(start, offsets), Rolling(data.astype(U) + U(1)))
 
 
-def chunks(column: pa.Array, most: int = 1 << 19, inside: np.ndarray = IS_WORD) -> Iterator[tuple[int, int, Words]]:
-    """First and last row (exclusive) and words of stretches of at most `most` bytes, or of one longer text."""
+def chunks(column: pa.Array, most: int = 1 << 19, inside: np.ndarray = IS_WORD, fold: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
+    """First and last row (exclusive) and words of stretches of at most `most` bytes, or of one longer text; `fold` replaces each byte first."""
     data, offsets = texts(column)
     low = 0
     while low < len(column):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, side="right")) - 1)
-        yield low, high, split(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], inside)
+        part = data[offsets[low] : offsets[high]]
+        yield low, high, split(part if fold is None else fold[part], offsets[low : high + 1] - offsets[low], inside)
         low = high
 
 
