@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, languages, lines, merkle, mix, near, pack, quality, secrets, suffix, tokens, toxic
+from . import exact, languages, lines, merkle, mix, near, pack, quality, search, secrets, suffix, tokens, toxic
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_language_id": languages.op12_language_id,
+    "op13_ranked_search": search.op13_ranked_search,
 }
 
 SQL = {
