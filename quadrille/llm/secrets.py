@@ -57,6 +57,7 @@ RULES = (
 
 
 #: Letters from the most to the least common in English; anything else counts as rarer.
+RUN = 256  # matches whose places are added up together
 COMMON = "etaoinshrdlucmfwygpbvkjxqz"
 
 
@@ -90,10 +91,11 @@ def spans_of(rule: Rule, text: Column) -> Column:
     """array<struct<kind, start, end>> of a rule's matches in a text."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    before = F.split(text, rule.pattern, -1)
-    steps = F.transform(F.arrays_zip(whole.alias("w"), part.alias("p")), lambda x, i: F.struct(F.length(F.get(before, i)).alias("skip"), F.length(x["w"]).alias("size"), F.length(x["p"]).alias("part")))
+    before = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
+    steps = F.transform(F.arrays_zip(whole.alias("w"), part.alias("p"), before.alias("b")), lambda x: F.struct(F.length(x["b"]).alias("skip"), F.length(x["w"]).alias("size"), F.length(x["p"]).alias("part")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    none = F.array().cast("array<struct<at:int,steps:array<struct<skip:int,size:int,part:int>>>>")
+    end_of = lambda chunk, at: F.aggregate(chunk, at, lambda a, x: a + x["skip"] + x["size"])
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["skip"]
@@ -101,7 +103,15 @@ def spans_of(rule: Rule, text: Column) -> Column:
         one = F.array(F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(steps, first, add, lambda acc: acc["out"])).otherwise(empty)
+    def spread(all_: Column) -> Column:
+        """Matches are taken RUN at a time, so that what grows by one match is never longer than that."""
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda c: F.slice(all_, c * RUN + 1, F.lit(RUN)))
+        begun = F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, r: F.struct(end_of(r, a["at"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), r.alias("steps")))).alias("out")), lambda a: a["out"])
+        return F.flatten(F.transform(begun, lambda r: F.aggregate(r["steps"], F.struct(r["at"].alias("at"), empty.alias("out")), add, lambda a: a["out"])))
+
+    # Bound once: an expression that a lambda names is else computed again for each element.
+    bound = F.get(F.transform(F.array(steps), spread), F.lit(0))
+    return F.when(F.regexp_instr(text, F.lit(rule.pattern)) > 0, bound).otherwise(empty)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, asked: int = 2, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
