@@ -264,3 +264,40 @@ def op11_merkle_manifest(spark, sf_dir):
     hexed = lambda c: F.lower(F.hex(c))
     found = found.select("doc_id", *[hexed(c).alias(name) for name, c in (("leaf", "digest"), ("subroot", "subroot"), ("root", "root"))], proof_sha256("path").alias("proof_sha256"), hexed(folded(F.coalesce("altered", "digest"), F.col("path"))).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    one = lambda c: f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c})::VARCHAR, '-')"
+    return "sha256(" + " || ".join(one(n_chars if c == "n_chars" else c) for c in COLUMNS) + ")"
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = "xor(list_reduce([ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')], lambda c, x: list_reduce(range(8), lambda y, j: xor(y >> 1, 3988292384 * (y & 1)), xor(c, x)), 4294967295::BIGINT), 4294967295)"
+
+
+def _tree_sql(leaves: str, name: str) -> str:
+    """The nodes of all trees (tree, k, i, h, n) of leaves (tree, i, h, n)."""
+    return f"""{name} AS (SELECT tree, 0 AS k, i, h, n FROM {leaves}
+  UNION ALL SELECT tree, k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY tree, k, i // 2, n)"""
+
+
+def _fold_sql(start: str, nodes: str, name: str) -> str:
+    """Paths of rows (r, tree, i, n, h, proof) to their tree's root."""
+    return f"""{name} AS (SELECT r, tree, 0 AS k, i, n, h, proof FROM {start}
+  UNION ALL SELECT f.r, f.tree, f.k + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.i < f.i THEN s.h || f.h ELSE f.h || s.h END), f.proof || coalesce(s.h, '')
+  FROM {name} f LEFT JOIN {nodes} s ON s.tree IS NOT DISTINCT FROM f.tree AND s.k = f.k AND s.i = xor(f.i, 1) WHERE f.n > 1)"""
+
+
+SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, lang AS tree, {_leaf_sql("n_chars")} AS h, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} END AS altered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_tree_sql("l", "t")},
+o AS (SELECT '' AS tree, tree AS of_tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM t WHERE n = 1),
+{_tree_sql("o", "u")},
+a AS (SELECT r, tree, i, n, coalesce(altered, h) AS h, '' AS proof FROM l),
+{_fold_sql("a", "t", "f")},
+b AS (SELECT f.r, '' AS tree, o.i, o.n, f.h, f.proof FROM f JOIN o ON f.tree IS NOT DISTINCT FROM o.of_tree WHERE f.n = 1),
+{_fold_sql("b", "u", "g")}
+SELECT l.doc_id, l.h AS leaf, o.h AS subroot, u.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = u.h AS verified
+FROM l JOIN g ON g.r = l.r AND g.n = 1 JOIN o ON l.tree IS NOT DISTINCT FROM o.of_tree JOIN u ON u.n = 1
+"""

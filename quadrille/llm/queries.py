@@ -26,4 +26,6 @@ SQL = {
     "op5_line_dedup": lines.SQL,
     "op7_mix_sources": mix.SQL,
     "op10_quality_rules": quality.sql(),
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_ranked_search": search.SQL,
 }
