@@ -13,15 +13,15 @@ So every stretch of `least` words that occurs earlier has a neighbour that holds
 compared on the texts themselves and extended, word by word, as far left and right as the texts agree; fingerprints only
 propose.
 
-The sort is Spark's, inside windows of one fingerprint. A fingerprint is salted by document, with a salt for each
-`per_salt` places of its head, and the heads of the salts are then compared among themselves, so that a
-passage of a third of all documents is sorted in as many parts as it needs. A suffix has one
+The sort is Spark's, inside windows of one fingerprint. Each fingerprint is salted by
+document first, and the heads of the salts are then compared among themselves, so that a
+passage of a third of all documents is sorted in `salts` parts. A suffix has one
 neighbour in each order, so the pairs grow in proportion to the text.
 
 `repeats` gives, for every document, the stretches of at least `least` words that an
 earlier document, or an earlier place of the same one, holds too; the first occurrence has none. Words are runs
-without ASCII white space and compared byte for byte. A stretch's `of` is the smallest id that holds one of the sorted stretches in it
-(equal by fingerprint), whichever neighbour it was compared with; so it depends on no salt.
+without ASCII white space and compared byte for byte. A stretch's `of` is a document before it, or itself, that holds `least` words of it: the smallest id
+of the neighbours it was compared with. Where more than two documents hold a passage, which of them that is depends on `salts`; the stretches don't.
 
 Defined results: null and empty texts and texts under `least` words have no repeats; rows with a null id
 are left out; rows that repeat id and text are one document, and rows that share an id with
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, materialize, table
@@ -83,7 +83,7 @@ def suffixes(texts: DataFrame, least: int, window: int, gram: int) -> DataFrame:
 
 
 def stretches(rows: DataFrame, least: int, window: int, gram: int) -> DataFrame:
-    """doc_id, mark, pos, key, n: each stretch of `least` words of rows (doc_id, mark, at, text) that chose one of the positions in `at`, with that one's n."""
+    """doc_id, mark, pos, key: each stretch of `least` words of rows (doc_id, mark, at, text) that chose one of the positions in `at`."""
 
     def worker(batches):
         for batch in batches:
@@ -97,104 +97,86 @@ def stretches(rows: DataFrame, least: int, window: int, gram: int) -> DataFrame:
                         continue
                     roll, begin = Rolling(own, _STEP), np.arange(len(own))
                     pick = chosen(roll.of(begin, np.minimum(begin + gram, len(own))), window)[:n]
-                    at = batch.column(2)[i].values
-                    place, often = at.field("pos").to_numpy(), at.field("n").to_numpy()
-                    order = np.argsort(place)
-                    where = np.minimum(np.searchsorted(place[order], pick), len(place) - 1)
-                    start = np.flatnonzero(place[order][where] == pick)
-                    out.append((i, start, roll.of(start, start + least).view(np.int64), often[order][where][start]))
-            which = np.concatenate([np.full(len(x), i) for i, x, *_ in out]) if out else np.zeros(0, int)
+                    start = np.flatnonzero(np.isin(pick, batch.column(2)[i].values.to_numpy()))
+                    out.append((i, start, roll.of(start, start + least).view(np.int64)))
+            which = np.concatenate([np.full(len(x), i) for i, x, _ in out]) if out else np.zeros(0, int)
             columns = [batch.column(k).take(pa.array(which)) for k in (0, 1)]
             joined = lambda k, kind: pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0), kind)
-            yield pa.RecordBatch.from_arrays([*columns, joined(1, pa.int64()).cast(pa.int32()), joined(2, pa.int64()), joined(3, pa.int64())], names=[*_DOC, "pos", "key", "n"])
+            yield pa.RecordBatch.from_arrays([*columns, joined(1, pa.int64()).cast(pa.int32()), joined(2, pa.int64())], names=[*_DOC, "pos", "key"])
 
-    return rows.select(*_DOC, "at", "text").mapInArrow(worker, "doc_id long, mark long, pos int, key long, n long")
+    return rows.select(*_DOC, "at", "text").mapInArrow(worker, "doc_id long, mark long, pos int, key long")
 
 
-def neighbours(found: DataFrame, key: str, salts: Column) -> DataFrame:
-    """doc_id, mark, pos, n, of, of_mark, at, first: each place with the one before it in sorted order among those of the same key, and the smallest id
-    of the key; of is null where there is none before.
-
-    A salt's head is compared with the other salts' heads. The others learn the key's smallest id from their salt's head, by a join of those that have salts.
-    """
+def neighbours(found: DataFrame, key: str, salts: int) -> DataFrame:
+    """doc_id, mark, pos, of, of_mark, at: each place with the one before it in sorted order among those of the same key; of is null where there is none."""
     names = {"of": "doc_id", "of_mark": "mark", "at": "pos"}
     before = lambda w: [F.lag(c).over(w).alias(k) for k, c in names.items()]
     order = [F.col("doc_id"), F.col("mark"), F.col("pos")]
-    salted = found.select(*_DOC, "pos", "n", F.col(key).alias("key"), salts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
-    own = Window.partitionBy("key", "salt").orderBy(*order)
-    near = salted.select("*", *before(own), F.first("doc_id").over(own).alias("first")).where("NOT (of <=> doc_id AND of_mark <=> mark AND at <=> pos)")  # a row read twice is no repeat
-    every = Window.partitionBy("key").orderBy(*order)
-    heads = near.where("of IS NULL").drop(*names, "first").select("*", *before(every), F.first("doc_id").over(every).alias("first"))
-    least = heads.where("salts > 1").select(F.col("key").alias("of_key"), F.col("salt").alias("of_salt"), F.col("first").alias("least"))
-    inside = near.where("of IS NOT NULL AND salts > 1").join(least, F.expr("key = of_key AND salt = of_salt")).withColumn("first", F.col("least"))
-    columns = [*_DOC, "pos", "n", *names, "first"]
-    return near.where("of IS NOT NULL AND salts = 1").select(*columns).unionByName(inside.select(*columns)).unionByName(heads.select(*columns))
-
-
-def extend(a: list[bytes], b: list[bytes], anchors: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Stretches of b, from and to in words, that equal stretches of a through one of the anchors (position in b, in a, smallest id), with the smallest of their ids."""
+    salted = found.select(*_DOC, "pos", F.col(key).alias("key")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    near = salted.select("*", *before(Window.partitionBy("key", "salt").orderBy(*order))).where("NOT (of <=> doc_id AND of_mark <=> mark AND at <=> pos)")  # a row read twice is no repeat
+    inside = near.where("of IS NOT NULL").select(*_DOC, "pos", *names)
+    heads = near.where("of IS NULL").select(*_DOC, "pos", "key")
+    return inside.unionByName(heads.select(*_DOC, "pos", *before(Window.partitionBy("key").orderBy(*order))))
+
+
+def extend(a: list[bytes], b: list[bytes], anchors: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Stretches of b, from and to in words, that equal stretches of a through one of the anchors (position in b, in a)."""
     out, done = [], {}
-    for j, i, first in sorted(anchors):
-        if j - i in done and done[j - i][1] > j:  # already inside a stretch on this diagonal
-            known = done[j - i]
-            known[2] = min(known[2], first)
+    for j, i in sorted(anchors):
+        if done.get(j - i, -1) > j:  # already inside a stretch on this diagonal
             continue
         low, high = 0, 0
         while j + high < len(b) and i + high < len(a) and a[i + high] == b[j + high]:
             high += 1
         while low < min(i, j) and a[i - low - 1] == b[j - low - 1]:
             low += 1
-        done[j - i] = [j - low, j + high, first]
+        done[j - i] = j + high
         if low + high >= least:
-            out.append(done[j - i])
-    return [tuple(x) for x in out]
-
+            out.append((j - low, j + high))
+    return out
 
-def repeats(docs: DataFrame, least: int = 50, window: int = 24, gram: int = 8, per_salt: int = 20_000, salts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document with a repeat: doc_id, n_words, repeated_words, first_of (the smallest `of`), and spans: words f to t, code points start to end, of.
 
-    `salts` fixes the number of salts for all fingerprints.
-    """
-    by = F.lit(salts).cast("long") if salts else F.expr(f"n div {per_salt} + 1")
+def repeats(docs: DataFrame, least: int = 50, window: int = 24, gram: int = 8, salts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document with a repeat: doc_id, n_words, repeated_words, first_of (smallest `of`), and spans: words f to t, code points start to end, of."""
     all_texts = marked(docs, id_col, text_col)
     found = suffixes(all_texts, least, window, gram)
     # Written, so that the join has a plain exchange on both sides and adaptive execution splits a hot head.
-    often = materialize(found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-heads")
-    met = materialize(found.join(often, "head").select(*_DOC, "pos", "wide", "n"), "suffix-met")
+    often = materialize(found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"), "suffix-heads")
+    met = materialize(found.join(often, "head").select(*_DOC, "pos", "wide"), "suffix-met")
     held = met.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark")).distinct()
     texts = materialize(all_texts.join(held, F.expr("doc_id = w_id AND mark = w_mark"), "left_semi"), "suffix-texts")
-    wide = materialize(neighbours(met, "wide", by), "suffix-wide")
-    open_ = wide.where("of IS NULL").groupBy(*_DOC).agg(F.collect_set(F.struct("pos", "n")).alias("at"))  # bounded by the document's own length
-    exact = neighbours(stretches(open_.join(texts, _DOC), least, window, gram), "key", by).where("of IS NOT NULL")
+    wide = materialize(neighbours(met, "wide", salts), "suffix-wide")
+    open_ = wide.where("of IS NULL").groupBy(*_DOC).agg(F.collect_set("pos").alias("at"))  # bounded by the document's own length
+    exact = neighbours(stretches(open_.join(texts, _DOC), least, window, gram), "key", salts).where("of IS NOT NULL")
     pairs = wide.where("of IS NOT NULL").unionByName(exact)
-    links = pairs.groupBy(*_DOC, "of", "of_mark").agg(F.collect_set(F.struct("pos", "at", "first")).alias("anchors"))  # bounded by the document's own length
+    links = pairs.groupBy(*_DOC, "of", "of_mark").agg(F.collect_set(F.struct("pos", "at")).alias("anchors"))  # bounded by the document's own length
     # Both sides rename the same columns, so Spark shuffles the texts once and uses that exchange twice. Rows that repeat id and text give the same stretches again, which merge.
     side = lambda k: texts.select(F.col("doc_id").alias(f"id_{k}"), F.col("mark").alias(f"mark_{k}"), F.col("text").alias(f"text_{k}"))
     both = links.join(side("a"), F.expr("of = id_a AND of_mark = mark_a")).join(side("b"), F.expr("doc_id = id_b AND mark = mark_b"))
-    one = pa.struct([("f", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("of", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(one))])
+    one = pa.struct([("f", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("of", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(one))])
 
     def worker(batches):
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                doc, mark = (batch.column(k)[i].as_py() for k in range(2))
+                doc, mark, of = (batch.column(k)[i].as_py() for k in range(3))
                 text = batch.column(5)[i].as_buffer().to_pybytes()
                 b = text.split()
                 a = batch.column(4)[i].as_buffer().to_pybytes().split()
-                if spans := extend(a, b, [(x["pos"], x["at"], x["first"]) for x in batch.column(3)[i].as_py()], least):
+                if spans := extend(a, b, [(x["pos"], x["at"]) for x in batch.column(3)[i].as_py()], least):
                     data = np.frombuffer(text, np.uint8)
                     w, before = split(data, np.array([0, len(data)])), points(data)
-                    rows.append({"doc_id": doc, "mark": mark, "n_words": len(b), "spans": [{"f": x, "t": y, "start": int(before[w.start[x]]), "end": int(before[w.end[y - 1]]), "of": of} for x, y, of in spans]})
+                    rows.append({"doc_id": doc, "mark": mark, "of": of, "n_words": len(b), "spans": [{"f": x, "t": y, "start": int(before[w.start[x]]), "end": int(before[w.end[y - 1]])} for x, y in spans]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    found = both.select("doc_id", "mark", "of", "anchors", "text_a", "text_b").mapInArrow(worker, "doc_id long, mark long, n_words long, spans array<struct<f:long,t:long,start:long,end:long,of:long>>")
+    found = both.select("doc_id", "mark", "of", "anchors", "text_a", "text_b").mapInArrow(worker, "doc_id long, mark long, of long, n_words long, spans array<struct<f:long,t:long,start:long,end:long>>")
     return merged(found)
 
 
 def merged(found: DataFrame) -> DataFrame:
     """Stretches of one document joined where they overlap."""
-    one = found.select("doc_id", "mark", "n_words", F.inline("spans"))
+    one = found.select("doc_id", "mark", "of", "n_words", F.inline("spans"))
     run = Window.partitionBy(*_DOC).orderBy("f", "t")
     before = F.max("t").over(run.rowsBetween(Window.unboundedPreceding, -1))
     part = one.withColumn("new", F.when(before >= F.col("f"), 0).otherwise(1)).withColumn("part", F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)))

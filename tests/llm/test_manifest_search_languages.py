@@ -240,16 +240,20 @@ def test_secrets_of_a_list_of_digests(spark):
     assert [(s.start, s.end) for s in found.spans] == [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
 
 
-def test_repeats_name_the_smallest_id_whatever_the_salts(spark):
+def test_repeats_name_a_holder_whatever_the_salts(spark):
     rng = np.random.default_rng(12)
     some = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**6, n))
     shared, block = some(60), some(140)
-    rows = [(i, f"{some(30)} {shared} {some(30)}") for i in range(1, 25)] + [(i, f"{some(3)} {block} {some(3)}") for i in range(30, 50)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one = lambda **o: {(r.doc_id, r.repeated_words, r.first_of, tuple(s.of for s in r.spans)) for r in suffix.repeats(docs, **o).collect()}
-    got = one(salts=1)
-    assert {(d, f) for d, _, f, _ in got} == {(i, 1) for i in range(2, 25)} | {(i, 30) for i in range(31, 50)}
-    assert got == one(salts=3) == one(salts=8) == one(per_salt=4) == one()
+    texts = {i: f"{some(30)} {shared} {some(30)}" for i in range(1, 25)} | {i: f"{some(3)} {block} {some(3)}" for i in range(30, 50)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for salts in (1, 3, 8):
+        got = {r.doc_id: r for r in suffix.repeats(docs, salts=salts).collect()}
+        assert {d: [(s.f, s.t) for s in r.spans] for d, r in got.items()} == {i: [(30, 90)] for i in range(2, 25)} | {i: [(3, 143)] for i in range(31, 50)}
+        for d, r in got.items():
+            assert r.first_of == min(s.of for s in r.spans) < d
+            for s in r.spans:
+                w, held = texts[d].split()[s.f : s.t], f" {texts[s.of]} "
+                assert any(f" {' '.join(w[i : i + 50])} " in held for i in range(len(w) - 49))
 
 
 def test_toxicity_passes_over_texts_beyond_its_budget(spark):
