@@ -1,4 +1,7 @@
-"""Column functions on sides and boards: all of them stay inside generated code.
+"""Column functions on sides and boards.
+
+Where a projection has so many terms that one generated method would pass what the JVM compiles, one of its columns is
+`unfused`: Spark then generates the projection by itself, as many small methods.
 
 `side` is a long of 36 bits (see geometry), `board` the packed long of four 16-bit quadrants, each
 nine base-3 digits: 0 empty, 1 first side, 2 second side.
@@ -18,9 +21,14 @@ def lit(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
+def unfused(c: Column) -> Column:
+    """c itself, through a lambda. Spark fuses no projection that holds a lambda with the operators around it."""
+    return F.get(F.transform(F.array(c), lambda x: x), F.lit(0))
+
+
 def looked_up(table: list[int], at: Column) -> Column:
     """table[at]. The table is one literal in the plan, so an expression stays small however often it looks up."""
-    return F.coalesce(F.get(F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)"), at.cast("int")), lit(0))
+    return F.coalesce(F.get(F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)"), at), lit(0))
 
 
 def lane(side: Column, q: int) -> Column:
@@ -119,7 +127,7 @@ def all_turned(side0: Column, side1: Column) -> list[Column]:
 
 def with_turned(df: DataFrame, side0: str, side1: str, prefix: str) -> DataFrame:
     """Adds prefix0 to prefix3, the boards of `all_turned`; functions of them then name short columns."""
-    return df.select("*", *[c.alias(f"{prefix}{t}") for t, c in enumerate(all_turned(F.col(side0), F.col(side1)))])
+    return df.select("*", *[(c if t else unfused(c)).alias(f"{prefix}{t}") for t, c in enumerate(all_turned(F.col(side0), F.col(side1)))])
 
 
 def turned_quadrants(turned: list[Column], q: int) -> list[Column]:
@@ -136,9 +144,10 @@ def with_super_canonical(df: DataFrame, side0: str, side1: str, name: str) -> Da
     mirror = g.square_symmetries()[4]
     out = df.select("*", moved(F.col(side0), mirror).alias("__m0"), moved(F.col(side1), mirror).alias("__m1"))
     out = with_turned(with_turned(out, side0, side1, "__p"), "__m0", "__m1", "__r")
-    out = out.select("*", *[F.least(*turned_quadrants([F.col(f"__{k}{t}") for t in range(4)], q)).alias(f"__{k}q{q}") for k in "pr" for q in range(g.QUADRANTS)])
+    least = lambda k, q: F.least(*turned_quadrants([F.col(f"__{k}{t}") for t in range(4)], q))
+    out = out.select("*", *[(least(k, q) if q else unfused(least(k, q))).alias(f"__{k}q{q}") for k in "pr" for q in range(g.QUADRANTS)])
     boards = [quadrants([F.col(f"__{k}q{source}") for source in sources]) for k in "pr" for sources in g.quadrant_sources()[:4]]
-    return out.select(*[F.col(c) for c in df.columns], F.least(*boards).alias(name))
+    return out.select(*[F.col(c) for c in df.columns], unfused(F.least(*boards)).alias(name))
 
 
 def stabilizer_log(turned: list[Column]) -> Column:

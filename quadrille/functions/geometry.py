@@ -6,6 +6,8 @@ cell (x, y) the bit 3 * (x % 3) + y % 3 of it. Everything below follows from tha
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 SIZE, QUADRANTS = 6, 4
 #: One bit in each lane.
 LANES = sum(1 << 16 * q for q in range(QUADRANTS))
@@ -21,6 +23,7 @@ FULL = sum(1 << b for b in BITS)
 LANE = [0x1FF << 16 * q for q in range(QUADRANTS)]
 
 
+@lru_cache
 def win_masks() -> list[int]:
     """All lines of five."""
     out = []
@@ -32,12 +35,14 @@ def win_masks() -> list[int]:
     return sorted(out)
 
 
+@lru_cache
 def held_lines(q: int) -> list[int]:
     """For each of the 512 states of quadrant q in one side, the lines of five (bits, in the order of `win_masks`) whose cells in q are all held."""
     parts = [m >> 16 * q & 0x1FF for m in win_masks()]
     return [sum(1 << i for i, p in enumerate(parts) if p & state == p) for state in range(512)]
 
 
+@lru_cache
 def ternary() -> list[int]:
     """For each of the 512 states of a quadrant in one side, the sum of 3**i over its bits i."""
     return [sum(3**i for i in range(9) if state >> i & 1) for state in range(512)]
@@ -55,17 +60,20 @@ def quarter_turn(q: int, turns: int = 1) -> dict[int, int]:
     return out
 
 
+@lru_cache
 def rotations() -> list[dict[int, int]]:
     """The eight moves of one quadrant: each quadrant's turn to the left, then to the right."""
     return [quarter_turn(q, t) for q in range(QUADRANTS) for t in (1, 3)]
 
 
+@lru_cache
 def turned_states(turns: int) -> list[int]:
     """The 512 states of a quadrant in one side after quarter turns."""
     table = quarter_turn(0, turns)
     return [sum(1 << table[i] for i in range(9) if state >> i & 1) for state in range(512)]
 
 
+@lru_cache
 def square_symmetries() -> list[dict[int, int]]:
     """The eight symmetries of the whole board."""
     out = []
@@ -81,6 +89,7 @@ def square_symmetries() -> list[dict[int, int]]:
     return out
 
 
+@lru_cache
 def quadrant_sources() -> list[list[int]]:
     """For each symmetry of the board, the quadrant whose stones come to quadrant 0, 1, 2 and 3."""
     out = []

@@ -5,11 +5,13 @@ The rotation with quarter turns (r0, r1, r2, r3) is bit r0 + 4 r1 + 16 r2 of wor
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry as g
-from .boards import any_of, lane, lit, looked_up
+from .boards import any_of, lit, unfused
 
 
 def _mask(group: int, keep: int) -> int:
@@ -40,26 +42,149 @@ def popcount(words: list[Column]) -> Column:
     return sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("long")
 
 
+@lru_cache
+def _part_turns(part: int) -> list[int]:
+    """For each state of a quadrant, the turns (bits 0 to 3) after which it holds all cells of a part."""
+    turned = [g.turned_states(r) for r in range(4)]
+    return [sum(1 << r for r in range(4) if turned[r][state] & part == part) for state in range(512)]
+
+
+@lru_cache
+def _spread(turns: int, step: int, bits: int) -> int:
+    """All numbers under `bits` whose base-4 digit at `step` (1, 4 or 16) is one of the turns, as a set."""
+    return sum(1 << i for i in range(bits) if turns >> i // step % 4 & 1)
+
+
+@lru_cache
+def _lines_by_quadrants() -> dict[tuple[int, ...], list[int]]:
+    """Lines of five by the quadrants that they touch: two for most, three for four of them."""
+    out: dict[tuple[int, ...], list[int]] = {}
+    for m in g.win_masks():
+        out.setdefault(tuple(q for q in range(g.QUADRANTS) if m & g.LANE[q]), []).append(m)
+    return out
+
+
+def _table(values: list[int], at: str) -> str:
+    """SQL of `looked_up`."""
+    return f"coalesce(get(cast(split('{','.join(map(str, values))}', ',') as array<bigint>), {at}), 0L)"
+
+
+def _unfused(sql: str) -> str:
+    """SQL of `unfused`."""
+    return f"get(transform(array({sql}), x -> x), 0)"
+
+
+@lru_cache
+def _fives_sql(side: str) -> tuple[list[str], list[str], list[str], list[str]]:
+    """The projections of `with_fives` as SQL: parts looked up, pairs' sets, what all words share, and single words."""
+    at = [f"(shiftrightunsigned({side}, {16 * q}) & 511L)" for q in range(g.QUADRANTS)]
+    first, second, pairs, triples = [], [], {}, []
+    for quads, masks in _lines_by_quadrants().items():
+        parts = {m: {q: _part_turns(m >> 16 * q & 0x1FF) for q in quads} for m in masks}
+        if len(quads) == 2:
+            pairs[quads] = []
+            for i in range(0, len(masks), 4):
+                some = list(enumerate(masks[i : i + 4]))
+                tables = [[_signed(sum(_spread(parts[m][q][x], step, 16) << 16 * j for j, m in some)) for x in range(512)] for q, step in zip(quads, (1, 4), strict=True)]
+                both = f"{_table(tables[0], at[quads[0]])} & {_table(tables[1], at[quads[1]])}"
+                pairs[quads].append(f"__s{len(first)}")
+                first.append(f"{both if first else _unfused(both)} AS __s{len(first)}")
+        else:
+            for m in masks:
+                name = f"__t{len(triples)}"
+                triples.append((name, 3 in quads))
+                second.append(" & ".join(_table([_signed(_spread(parts[m][q][x], 4**q, 64)) for x in range(512)], at[q]) for q in quads if q < 3) + f" AS {name}")
+                if 3 in quads:
+                    second.append(f"{_table(parts[m][3], at[3])} AS {name}w")
+    sets = []
+    for (low, high), names in pairs.items():  # each pair's set is the OR of its four parts of 16 bits
+        whole = f"({' | '.join(names)})"
+        sets.append(" | ".join(f"shiftrightunsigned({whole}, {16 * j}) & 65535L" for j in range(4)) + f" AS __p{low}{high}")
+
+    pick = lambda c, k: f"(shiftrightunsigned({c}, {4 * k}) & 15L)"
+    same, each = [], [[] for _ in range(4)]  # terms of all words alike, and of single words
+    for low, high in pairs:
+        c = f"__p{low}{high}"
+        if high == 1:
+            same += [f"shiftleft({c}, {16 * j})" for j in range(4)]
+        elif high == 2:
+            same += [f"shiftleft({_table([_spread(x, 4**low, 16) for x in range(16)], pick(c, k))}, {16 * k})" for k in range(4)]
+        else:
+            for k in range(4):
+                each[k].append(_table([_signed(_spread(x, 4**low, 64)) for x in range(16)], pick(c, k)))
+    for name, last in triples:
+        if not last:
+            same.append(name)
+        else:
+            for k in range(4):
+                each[k].append(f"if({name}w & {1 << k}L != 0L, {name}, 0L)")
+    return first, sets + second, [f"{_unfused(' | '.join(same))} AS __all"], [" | ".join(["__all", *terms]) for terms in each]
+
+
 def with_fives(df: DataFrame, side: str, name: str) -> DataFrame:
     """Adds name0 to name3: the rotations under which a side has five.
 
-    A rotation makes five if some line is held in all four turned quadrants. So each quadrant's held lines under its
-    four turns are looked up, met by pairs of quadrants, and the sixteen of either pair by each other. One row stays one row.
+    Where a line touches two quadrants, the turns that hold its parts give a set of 16 pairs of turns. Four lines' parts are looked up at once,
+    as four sets in one long, so that one AND meets them. A pair's set is then spread over all turns of the other quadrants;
+    lines in three quadrants are met as whole sets. One row stays one row, and no projection has more than a few dozen short terms.
     """
-    held = [g.held_lines(q) for q in range(g.QUADRANTS)]
-    turned = [g.turned_states(r) for r in range(4)]
-    one = df.select("*", *[looked_up([held[q][x] for x in turned[r]], lane(F.col(side), q)).alias(f"__h{q}{r}") for q in range(g.QUADRANTS) for r in range(4)])
-    both = lambda p, q: [F.col(f"__h{p}{i}").bitwiseAND(F.col(f"__h{q}{j}")).alias(f"__h{p}{q}_{i}{j}") for i in range(4) for j in range(4)]
-    two = one.select(*df.columns, *both(0, 1), *both(2, 3))
-    bit = lambda i, j, k, m: F.when(F.col(f"__h01_{i}{j}").bitwiseAND(F.col(f"__h23_{k}{m}")) != 0, lit(_signed(1 << i + 4 * j + 16 * k))).otherwise(lit(0))
-    parts = two.select(*df.columns, *[any_of([bit(i, j, k, m) for i in range(4) for j in range(4)]).alias(f"__w{k}{m}") for k in range(4) for m in range(4)])
-    return parts.select(*df.columns, *[any_of([F.col(f"__w{k}{m}") for k in range(4)]).alias(f"{name}{m}") for m in range(4)])
+    first, second, shared, words = _fives_sql(side)
+    keep = [f"`{c}`" for c in df.columns]
+    rows = df.selectExpr("*", *first).selectExpr(*keep, *second).selectExpr("*", *shared)
+    return rows.selectExpr(*keep, *[f"{w} AS {name}{k}" for k, w in enumerate(words)])
+
+
+def near(words: list[str]) -> list[str]:
+    """`rmax` of four named words, as SQL: expressions of many terms are built faster as one text."""
+
+    def turned(w: str, step: int) -> str:
+        low, rest = f"{_mask(4 * step, step)}L", f"{_mask(4 * step, 3 * step)}L"
+        up = f"shiftleft({w} & {rest}, {step}) | (shiftrightunsigned({w}, {3 * step}) & {low})"
+        return f"{up} | (shiftrightunsigned({w}, {step}) & {rest}) | shiftleft({w} & {low}, {3 * step})"
+
+    return [" | ".join([*[turned(w, step) for step in (1, 4, 16)], words[(i + 1) % 4], words[(i + 3) % 4]]) for i, w in enumerate(words)]
 
 
 def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+def _digit_turn(word: Column, step: int, by: int) -> Column:
+    """A word's set with `by` (1 to 3) added to the turn whose bits are `step` apart, modulo 4."""
+    group = 4 * step
+    stay, wrap = _mask(group, (4 - by) * step), _mask(group, by * step)
+    return F.shiftleft(word.bitwiseAND(lit(stay)), by * step).bitwiseOR(F.shiftrightunsigned(word, (4 - by) * step).bitwiseAND(lit(wrap)))
+
+
+def _staged(df: DataFrame, names: list[str], words: list[Column]) -> DataFrame:
+    """df with the named words replaced: a projection of their own, so that steps don't multiply."""
+    words = [unfused(words[0]), *words[1:]]
+    return df.select(*[c for c in df.columns if c not in names], *[w.alias(n) for n, w in zip(names, words, strict=True)])
+
+
+def with_transformed(df: DataFrame, name: str, symmetry: Column, out: str) -> DataFrame:
+    """Adds out0 to out3: for a set name0 to name3 of rotations under which something holds of a board, those under which it
+    holds of the board moved by a symmetry (see `symmetries`; a column of numbers).
+
+    A rotation r of the moved board is the rotation conj(r) + local of the board. So local turns are taken off each turn of the set, inside words for three
+    quadrants and from word to word for the last; then the turns change places as the quadrants do, and are turned round by a mirror. Amounts come from the column, bit by bit: each step is done or not.
+    """
+    names = [f"{out}{k}" for k in range(4)]
+    rows = df.select("*", symmetry.alias("__s"), *[F.col(f"{name}{k}").alias(n) for k, n in enumerate(names)])
+    words = [F.col(n) for n in names]
+    bit = lambda i: F.col("__s").bitwiseAND(lit(1 << i)) != 0
+    for q in range(3):
+        for b in (0, 1):
+            rows = _staged(rows, names, [F.when(bit(2 * q + b), _digit_turn(w, 4**q, (4 - (1 << b)) % 4)).otherwise(w) for w in words])
+    for b in (0, 1):
+        rows = _staged(rows, names, [F.when(bit(6 + b), words[(k + (1 << b)) % 4]).otherwise(words[k]) for k in range(4)])
+    # The symmetry is mirrored first, then turned: one fixed permutation for each bit of its number.
+    mirror, once, twice = (image_of(m) for m in (g.square_symmetries()[i] for i in (4, 1, 2)))
+    for i, to in ((10, mirror), (8, once), (9, twice)):
+        rows = _staged(rows, names, [F.when(bit(i), c).otherwise(w) for c, w in zip(permuted(words, to), words, strict=True)])
+    return rows.select(*df.columns, *names)
+
+
 def image_of(symmetry: dict[int, int]) -> list[int]:
     """Where each rotation goes when the board is moved by a symmetry of the square first.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.boards import any_of, completing, lane, lit, looked_up, moved, stones, won
+from ..functions.boards import any_of, completing, lane, lit, looked_up, moved, stones, unfused, won
 
 
 def empty_bits(us: Column, them: Column) -> Column:
@@ -19,14 +19,16 @@ def empty_bits(us: Column, them: Column) -> Column:
 
 def placements(df: DataFrame, us: str = "us", them: str = "them") -> DataFrame:
     """A row for each empty cell: all columns, `cell` (its mask) and `placed` (the mover's side with it)."""
-    out = df.withColumn("cell", F.explode(empty_bits(F.col(us), F.col(them))))
+    rows = df.select("*", unfused(empty_bits(F.col(us), F.col(them))).alias("__cells"))
+    out = rows.select(*df.columns, F.explode_outer("__cells").alias("cell")).where("cell IS NOT NULL")  # no filter of the array's size is made of it
     return out.withColumn("placed", F.col(us).bitwiseOR(F.col("cell")))
 
 
 def turns(df: DataFrame, placed: str = "placed", them: str = "them") -> DataFrame:
     """A row for each of the eight turns: all columns, `turn`, `mine` and `theirs` after it."""
     pair = [F.struct(F.lit(i).alias("turn"), moved(F.col(placed), t).alias("mine"), moved(F.col(them), t).alias("theirs")) for i, t in enumerate(g.rotations())]
-    return df.select("*", F.inline(F.array(*pair)))
+    rows = df.select("*", unfused(F.array(*pair)).alias("__turns"))
+    return rows.select(*df.columns, F.inline_outer("__turns"))
 
 
 def summary(df: DataFrame, us: str, them: str) -> DataFrame:
@@ -44,13 +46,13 @@ def summary(df: DataFrame, us: str, them: str) -> DataFrame:
         mine, theirs = lane(F.col(us), q), lane(F.col(them), q)
         states.append(mine.bitwiseOR(theirs).alias(f"__f{q}"))
         states += [(looked_up([digits[x] for x in t], theirs) + looked_up([digits[x] for x in t], mine) * 2).alias(f"__v{q}_{d}") for d, t in turned.items()]
-    rows = df.select("*", *states, *[(9 - F.bit_count(lane(F.col(us).bitwiseOR(F.col(them)), q))).alias(f"__n{q}") for q in quads])
+    rows = df.select("*", unfused(lane(F.col(us).bitwiseOR(F.col(them)), 0)).alias("__f0"), *states[1:], *[(9 - F.bit_count(lane(F.col(us).bitwiseOR(F.col(them)), q))).alias(f"__n{q}") for q in quads])
 
     def placed(q: int, turn: int) -> list[Column]:
         """The quadrant's states after a stone in each cell and a turn; null where the cell is taken."""
         return [F.when(F.col(f"__f{q}").bitwiseAND(lit(1 << i)) == 0, F.col(f"__v{q}_{turn}") + 2 * digits[turned[turn][1 << i]]) for i in range(9)]
 
-    rows = rows.select("*", *[F.array(*placed(q, 1), *placed(q, 3)).alias(f"__p{q}") for q in quads])
+    rows = rows.select("*", *[(F.array(*placed(q, 1), *placed(q, 3)) if q else unfused(F.array(*placed(q, 1), *placed(q, 3)))).alias(f"__p{q}") for q in quads])
     counts, sums = [], []
     for q in quads:
         others = [p for p in quads if p != q]
@@ -62,7 +64,7 @@ def summary(df: DataFrame, us: str, them: str) -> DataFrame:
         odd = F.when(sum(F.col(f"__n{p}") for p in others) % 2 == 1, F.col(f"__v{q}_1").bitwiseXOR(F.col(f"__v{q}_3"))).otherwise(lit(0))
         sums.append(reduce(lambda x, y: x.bitwiseXOR(y), [F.coalesce(F.get(f"__p{q}", F.lit(i)), lit(0)) for i in range(18)], odd))
     total = sum(F.col(f"__n{q}") for q in quads)
-    rows = rows.select(*df.columns, (total * 8).cast("long").alias("moves"), sum(counts).cast("long").alias("boards"), any_of([F.shiftleft(x, 16 * q) for q, x in enumerate(sums)]).alias("checksum"))
+    rows = rows.select(*df.columns, unfused((total * 8).cast("long")).alias("moves"), sum(counts).cast("long").alias("boards"), any_of([F.shiftleft(x, 16 * q) for q, x in enumerate(sums)]).alias("checksum"))
     each = turns(rows.where("moves > 0"), us, them)
     each = each.withColumn("open", lit(g.FULL).bitwiseAND(F.bitwise_not(F.col("mine").bitwiseOR(F.col("theirs")))))
     over = F.when(won(F.col("mine")) | won(F.col("theirs")), stones(F.col("open"))).otherwise(stones(completing(F.col("mine")).bitwiseAND(F.col("open"))))

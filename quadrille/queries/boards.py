@@ -22,7 +22,7 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def board_pack_unpack(spark, sf_dir):
     """The packed board, its quadrants, its digits, and the sides read back."""
     p = _positions(spark, sf_dir).withColumn("board", b.pack(F.col("s0"), F.col("s1")))
-    return p.select("key", "board", *[b.quadrant(F.col("board"), q).alias(f"q{q}") for q in range(4)], b.unpack(F.col("board"), 0).alias("s0"), b.unpack(F.col("board"), 1).alias("s1"), b.table_text(F.col("board")).alias("digits"), b.valid_board(F.col("board")).alias("valid"))
+    return p.select(b.unfused(F.col("key")).alias("key"), "board", *[b.quadrant(F.col("board"), q).alias(f"q{q}") for q in range(4)], b.unpack(F.col("board"), 0).alias("s0"), b.unpack(F.col("board"), 1).alias("s1"), b.table_text(F.col("board")).alias("digits"), b.valid_board(F.col("board")).alias("valid"))
 
 
 BOARD_PACK_UNPACK = f"""WITH {P}, q AS (SELECT key, s0, s1, {t.pack("s0", "s1")} AS board FROM p),
@@ -44,7 +44,7 @@ CASE WHEN NOT won0 AND NOT won1 AND (s0 | s1) = {g.FULL} THEN 3 ELSE won0::BIGIN
 def rotated_status(spark, sf_dir):
     """Five with at most one turn, for both sides."""
     p = _positions(spark, sf_dir)
-    return p.select("key", b.rotated_won(F.col("s0")).alias("near0"), b.rotated_won(F.col("s1")).alias("near1"))
+    return p.select(b.unfused(F.col("key")).alias("key"), b.rotated_won(F.col("s0")).alias("near0"), b.rotated_won(F.col("s1")).alias("near1"))
 
 
 _TURNED = " UNION ALL ".join(f"SELECT key, {i} AS turn, {t.moved('s0', m)} AS a, {t.moved('s1', m)} AS b FROM p" for i, m in enumerate([{}, *g.rotations()]))
@@ -53,7 +53,7 @@ ROTATED_STATUS = f"WITH {P}, r AS ({_TURNED}) SELECT key, bool_or({t.won('a')})
 
 def canonical_d4(spark, sf_dir):
     p = _positions(spark, sf_dir)
-    return p.select("key", b.canonical(F.col("s0"), F.col("s1")).alias("canonical"), b.orbit_size(F.col("s0"), F.col("s1")).alias("orbit"))
+    return p.select(b.unfused(F.col("key")).alias("key"), b.canonical(F.col("s0"), F.col("s1")).alias("canonical"), b.orbit_size(F.col("s0"), F.col("s1")).alias("orbit"))
 
 
 _SYMMETRIC = " UNION ALL ".join(f"SELECT key, a * 0 + {t.pack('a', 'b')} AS board FROM (SELECT key, {t.moved('s0', m)} AS a, {t.moved('s1', m)} AS b FROM p)" for m in g.square_symmetries())
@@ -63,10 +63,10 @@ CANONICAL_D4 = f"WITH {P}, r AS ({_SYMMETRIC}) SELECT key, min(board) AS canonic
 def canonical_witness(spark, sf_dir):
     """The least board of the eight symmetries with the first symmetry that gives it, and the same for its section."""
     p = _positions(spark, sf_dir)
-    p = p.select("key", "s0", "s1", F.array(*b.symmetric_boards(F.col("s0"), F.col("s1"))).alias("boards"))
+    p = p.select(b.unfused(F.col("key")).alias("key"), "s0", "s1", F.array(*b.symmetric_boards(F.col("s0"), F.col("s1"))).alias("boards"))
     parts = sec.counts(F.col("s0"), F.col("s1"))
     images = F.array(*[sec.sig([parts[x] for x in source]) for source in g.quadrant_sources()])
-    p = p.select("key", "boards", images.alias("sections"))
+    p = p.select(b.unfused(F.col("key")).alias("key"), "boards", images.alias("sections"))
     first = lambda c: (F.array_position(c, F.array_min(c)) - 1).cast("long")
     return p.select("key", F.array_min("boards").alias("canonical"), first("boards").alias("symmetry"), F.array_min("sections").alias("section"), first("sections").alias("section_symmetry"))
 
@@ -80,7 +80,7 @@ def canonical_turns(spark, sf_dir):
     """The least board of all 2048 symmetries, and how many turns of quadrants leave the position as it is."""
     p = b.with_super_canonical(_positions(spark, sf_dir), "s0", "s1", "canonical")
     p = b.with_turned(p, "s0", "s1", "t")
-    return p.select("key", "canonical", b.stabilizer_log([F.col(f"t{i}") for i in range(4)]).cast("long").alias("stabilizer_log"))
+    return p.select(b.unfused(F.col("key")).alias("key"), "canonical", b.stabilizer_log([F.col(f"t{i}") for i in range(4)]).cast("long").alias("stabilizer_log"))
 
 
 def _least_turned(a: str, c: str) -> str:
@@ -152,7 +152,8 @@ def section_children(spark, sf_dir):
     now = _sections(_positions(spark, sf_dir)).select("section").distinct()
     parts = sec.sig_counts(F.col("section"))
     rows = [sec.child(parts, q) for q in range(4)]
-    found = now.select("section", F.explode(F.array(*[F.struct(c.alias("child"), room.alias("room")) for c, room in rows])).alias("c"))
+    each = F.array(*[F.struct(c.alias("child"), room.alias("room")) for c, room in rows])
+    found = now.select("section", b.unfused(each).alias("each")).select("section", F.explode_outer("each").alias("c"))
     return found.where("c.room").groupBy(F.col("c.child").alias("child")).agg(F.count_distinct("section").alias("parents"))
 
 

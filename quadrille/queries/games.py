@@ -79,9 +79,9 @@ SELECT {t.standard(t.counts())} AS section, sum(first)::BIGINT AS first, sum(sec
 def rotation_set_images(spark, sf_dir):
     """The rotations that give the first side of each customer's position five, for the eight images of the board: the set itself is permuted."""
     w = supers.with_fives(_customers(spark, sf_dir), "s0", "w")
-    words = [F.col(f"w{k}") for k in range(4)]
-    each = [F.struct(b.lit(i).alias("symmetry"), *[c.alias(f"w{k}") for k, c in enumerate(supers.permuted(words, supers.image_of(m)))]) for i, m in enumerate(g.square_symmetries())]
-    return w.select("key", F.inline(F.array(*each)))
+    each = w.select("key", *[f"w{k}" for k in range(4)], F.explode(F.sequence(b.lit(0), b.lit(7))).alias("symmetry"))
+    moved = supers.with_transformed(each, "w", F.col("symmetry") * 256, "v")
+    return moved.select("key", "symmetry", *[F.col(f"v{k}").alias(f"w{k}") for k in range(4)])
 
 
 _IMAGES = " UNION ALL ".join(f"SELECT key, {i} AS symmetry, {t.moved('s0', m)} AS s0 FROM (SELECT DISTINCT key, s0 FROM p)" for i, m in enumerate(g.square_symmetries()))

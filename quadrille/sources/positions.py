@@ -13,18 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.boards import lit, valid_board
+from ..functions.boards import lit, unfused, valid_board
 
 MULTIPLIER, PRIME = 2654435, 1000003
-HUGE = "spark.sql.codegen.hugeMethodLimit"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Expressions of boards can make generated methods that HotSpot, which compiles none over 8,000 bytes, would leave
-    interpreted; with this limit Spark splits them instead. A session that has set its own keeps it.
-    """
-    if spark.conf.get(HUGE, "65535") == "65535":
-        spark.conf.set(HUGE, "8000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,9 +29,9 @@ def cell_hash(key: Column, i: int) -> Column:
 def positions(df: DataFrame, key: str) -> DataFrame:
     """key, s0, s1 for each row: every cell empty, first or second side by its hash modulo 3. Stone counts need not be legal."""
     k = F.col(key).cast("long")
-    hashed = df.select(k.alias("key"), *[(cell_hash(k, i) % 3).alias(f"c{i}") for i in range(36)])
+    hashed = df.select(unfused(k).alias("key"), *[(cell_hash(k, i) % 3).alias(f"c{i}") for i in range(36)])
     side = lambda s: reduce(lambda a, b: a + b, [F.when(F.col(f"c{i}") == s, lit(1 << b)).otherwise(lit(0)) for i, b in enumerate(g.BITS)])
-    return hashed.select("key", side(1).alias("s0"), side(2).alias("s1"))
+    return hashed.select("key", unfused(side(1)).alias("s0"), side(2).alias("s1"))
 
 
 def endgames(df: DataFrame, key: str, empties: int) -> DataFrame:
