@@ -36,6 +36,17 @@ def images(parts: list[tuple[Column, Column]]) -> Column:
     return F.size(F.array_distinct(F.array(*[sig([parts[s] for s in source]) for source in g.quadrant_sources()]))).cast("long")
 
 
+def standard_of(signature: str) -> str:
+    """SQL of the least signature under the symmetries of the square, from a signature's name: a quadrant's two counts are 16 bits that move together."""
+    pair = [f"(shiftrightunsigned({signature}, {16 * q}) & 65535L)" for q in range(g.QUADRANTS)]
+    return "least(" + ", ".join(" | ".join(f"shiftleft({pair[s]}, {16 * q})" for q, s in enumerate(source)) for source in g.quadrant_sources()) + ")"
+
+
+def total_of(signature: str) -> str:
+    """SQL of the number of stones."""
+    return "(" + " + ".join(f"(shiftrightunsigned({signature}, {8 * i}) & 255L)" for i in range(8)) + ")"
+
+
 def total(parts: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a + b, [c for pair in parts for c in pair])
 

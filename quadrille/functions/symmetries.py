@@ -83,11 +83,11 @@ def with_moved(df: DataFrame, side: str, symmetry: str, name: str) -> DataFrame:
     x, s = F.col(side), F.col(symmetry)
     table = [state for r in range(4) for state in g.turned_states(r)]
     turned = any_of([F.shiftleft(looked_up(table, digit(s, q) * 512 + lane(x, q)), 16 * q) for q in range(g.QUADRANTS)])
-    rows = df.select("*", turned.alias("__m"))
+    rows = df.select("*", unfused(turned).alias("__m"))
     every = g.square_symmetries()
     for i, k in ((10, 4), (8, 1), (9, 2)):
         step = F.when(s.bitwiseAND(lit(1 << i)) != 0, moved(F.col("__m"), every[k])).otherwise(F.col("__m"))
-        rows = rows.select(*df.columns, step.alias("__m"))
+        rows = rows.select(*df.columns, unfused(step).alias("__m"))
     return rows.withColumnRenamed("__m", name)
 
 
