@@ -117,7 +117,7 @@ def _walked(df: DataFrame, x: str, name: str, n: int, seed: int, sign: int) -> D
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.col("__x"), lambda x, _: F.when(x >= lit(n), once(x)).otherwise(x))
     rows = rows.select(*df.columns, F.when(F.col("__x") >= lit(n), walk).otherwise(F.col("__x")).alias("__x"))
     late = F.raise_error(F.lit("a number didn't come back into its range"))
-    return rows.select(*df.columns, F.when(F.col("__x") < lit(n), F.col("__x")).otherwise(late.cast("long")).alias(name))
+    return rows.select(*df.columns, F.when(F.col("__x") >= lit(n), late.cast("long")).otherwise(F.col("__x")).alias(name))
 
 
 def with_bijection(df: DataFrame, x: str, name: str, n: int, seed: int = 0) -> DataFrame:

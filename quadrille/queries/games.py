@@ -180,6 +180,35 @@ def value_lookup(spark, sf_dir):
 
 VALUE_LOOKUP = f"""WITH {_ONE} SELECT key, {t.pack("us", "them")}::VARCHAR AS name, '{{"value":' || max(value) || ',"turns":[' || string_agg(value::VARCHAR, ',' ORDER BY coalesce(turn, -1)) || ']}}' AS answer FROM v GROUP BY key, us, them"""
 
+
+
+def value_lookup_tree(spark, sf_dir):
+    """The answer of a lookup service for each customer's position with two empty cells, as JSON: its value, each stone's and each turn's after it.
+
+    Signs follow half moves: between a stone and its turn the same side is to move, after the turn the other one. A stone that makes five has no turns.
+    """
+    _, moves = solve(_roots(spark, sf_dir, "customer", "c_custkey", 2), 2)
+    turn = F.when(F.col("turn").isNotNull(), F.struct(F.col("turn"), (-F.col("value")).alias("value")))
+    stones = moves.groupBy("key", "us", "them", "cell").agg(F.max("value").alias("value"), F.sort_array(F.collect_list(turn)).alias("turns"))  # eight rows at most
+    stones = stones.withColumn("turns", F.transform("turns", lambda x: x["value"]))
+    roots = stones.groupBy("key", "us", "them").agg(F.max("value").alias("value"), F.sort_array(F.collect_list(F.struct("cell", "value", "turns"))).alias("children"))  # two rows at most
+    return roots.select("key", write_names(b.pack(F.col("us"), F.col("them")), F.lit(False)).alias("name"), F.to_json(F.struct("value", "children")).alias("answer"))
+
+
+_FIRST_TURNS = " UNION ALL ".join(f"SELECT key, us, them, cell, {i} AS turn, {t.moved('placed', m)} AS mine, {t.moved('them', m)} AS theirs FROM a WHERE NOT placed_won" for i, m in enumerate(g.rotations()))
+VALUE_LOOKUP_TREE = f"""WITH {t.endgames("customer", "c_custkey", 2)}, q AS (SELECT * FROM r WHERE NOT {t.won("us")} AND NOT {t.won("them")}),
+cells AS (SELECT unnest([{", ".join(map(str, g.BITS))}]) AS bit),
+a AS (SELECT *, {t.won("placed")} AS placed_won FROM (SELECT q.*, 1::BIGINT << bit AS cell, us | (1::BIGINT << bit) AS placed FROM q, cells WHERE ((us | them) & (1::BIGINT << bit)) = 0)),
+b AS ({_FIRST_TURNS}), f AS (SELECT *, {t.won("mine")} AS fm, {t.won("theirs")} AS ft FROM b),
+d AS (SELECT *, {t.won("placed")} AS placed_won FROM (SELECT DISTINCT key, us, them, mine, theirs, theirs | ({g.FULL} & ~(mine | theirs)) AS placed FROM f WHERE NOT fm AND NOT ft)),
+e AS ({_SECOND}),
+v2 AS (SELECT key, us, them, mine, theirs, 1 AS v FROM d WHERE placed_won UNION ALL SELECT key, us, them, mine, theirs, {t.won("x")}::INT - {t.won("y")}::INT FROM e),
+w2 AS (SELECT key, us, them, mine, theirs, max(v) AS v FROM v2 GROUP BY ALL),
+m AS (SELECT key, us, them, cell, NULL AS turn, 1 AS value FROM a WHERE placed_won UNION ALL
+  SELECT f.key, f.us, f.them, cell, turn, CASE WHEN fm OR ft THEN fm::INT - ft::INT ELSE -w2.v END FROM f LEFT JOIN w2 ON w2.key = f.key AND w2.us = f.us AND w2.them = f.them AND w2.mine = f.mine AND w2.theirs = f.theirs),
+c AS (SELECT key, us, them, cell, max(value) AS value, '{{"cell":' || cell || ',"value":' || max(value) || ',"turns":[' || coalesce(string_agg((-value)::VARCHAR, ',' ORDER BY turn) FILTER (turn IS NOT NULL), '') || ']}}' AS said FROM m GROUP BY key, us, them, cell)
+SELECT key, {t.pack("us", "them")}::VARCHAR AS name, '{{"value":' || max(value) || ',"children":[' || string_agg(said, ',' ORDER BY cell) || ']}}' AS answer FROM c GROUP BY key, us, them"""
+
 QUERIES = {
     "rotation_sets": (rotation_sets, ROTATION_SETS),
     "any_turn_status": (any_turn_status, ANY_TURN_STATUS),
@@ -191,4 +220,5 @@ QUERIES = {
     "retrograde_three": (retrograde_three, None),
     "value_histogram": (value_histogram, VALUE_HISTOGRAM),
     "value_lookup": (value_lookup, VALUE_LOOKUP),
+    "value_lookup_tree": (value_lookup_tree, VALUE_LOOKUP_TREE),
 }
