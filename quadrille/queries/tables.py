@@ -62,9 +62,15 @@ def offset_join(spark, sf_dir):
     total = parts.groupBy("p_brand").agg(F.sum("size").alias("total"))
     before = Window.orderBy("p_brand").rowsBetween(Window.unboundedPreceding, -1)  # one row per brand
     base = total.select(F.col("p_brand").alias("brand"), F.coalesce(F.sum("total").over(before), lit(0)).alias("base"))
-    inside = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, -1)
-    spots = parts.withColumn("start", F.coalesce(F.sum("size").over(inside), lit(0))).join(base, F.col("p_brand") == F.col("brand"))
-    spots = spots.select("p_partkey", (F.col("base") + F.col("start")).alias("lo"), (F.col("base") + F.col("start") + F.col("size")).alias("hi"))
+    # A brand's parts are summed by thousands of keys first, so no window sorts all of a brand.
+    cell = F.expr("p_partkey div 1000")
+    cells = parts.groupBy(F.col("p_brand").alias("of"), cell.alias("at")).agg(F.sum("size").alias("held"))
+    ahead = F.sum("held").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cells.select("of", "at", F.coalesce(ahead, lit(0)).alias("ahead")).join(base, F.col("of") == F.col("brand")).select("of", "at", (F.col("ahead") + F.col("base")).alias("first"))
+    inside = Window.partitionBy("p_brand", "cell").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, -1)
+    spots = parts.withColumn("cell", cell).withColumn("start", F.coalesce(F.sum("size").over(inside), lit(0)))
+    spots = spots.join(starts, (F.col("p_brand") == F.col("of")) & (F.col("cell") == F.col("at"))).withColumn("lo", F.col("first") + F.col("start"))
+    spots = spots.select("p_partkey", "lo", (F.col("lo") + F.col("size")).alias("hi"))
     whole = parts.agg(F.sum("size")).first()[0] or 1
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % lit(whole)).alias("linear"))
     return intervals.locate(lines, spots, 256).select("l_orderkey", "l_linenumber", "linear", "p_partkey", (F.col("linear") - F.col("lo")).alias("within"))
