@@ -93,9 +93,23 @@ SELECT key, symmetry::BIGINT AS symmetry, {", ".join(_WORD(k) for k in range(4))
 
 def closeness_any_turns(spark, sf_dir):
     """How close each side of each customer's position is to a line of five, quadrants turned freely: the part of a line in a quadrant takes that quadrant's best turn."""
-    tables = [{x: y for q in range(4) for x, y in g.quarter_turn(q, r).items()} for r in range(4)]
-    masks = [[[sum(1 << table[x] for x in g.BITS if m >> x & 1 and x // 16 == q) for table in tables] for q in range(4)] for m in g.win_masks()]
-    rows = _customers(spark, sf_dir).select("key", "s0", "s1", F.explode(F.expr("cast(array(" + ",".join("array(" + ",".join("array(" + ",".join(f"{x}L" for x in part) + ")" for part in line) + ")" for line in masks) + ") as array<array<array<bigint>>>)")).alias("line"))
+    return _closeness(_customers(spark, sf_dir), [[_turned_parts(m, q, range(4)) for q in range(4)] for m in g.win_masks()])
+
+
+def closeness_one_turn(spark, sf_dir):
+    """As closeness_any_turns with at most one quadrant turned once: ways are pairs of a line and a quadrant that it touches, the one that may turn."""
+    ways = [(m, t) for m in g.win_masks() for t in range(4) if m & g.LANE[t]]
+    return _closeness(_customers(spark, sf_dir), [[_turned_parts(m, q, (0, 1, 3, 3) if q == t else (0, 0, 0, 0)) for q in range(4)] for m, t in ways])
+
+
+def _turned_parts(line: int, q: int, turns) -> list[int]:
+    """A line's part in a quadrant, after each of some numbers of quarter turns."""
+    return [sum(1 << g.quarter_turn(q, r)[x] for x in g.BITS if line >> x & 1 and x // 16 == q) for r in turns]
+
+
+def _closeness(p, masks: list[list[list[int]]]):
+    """key, close0, close1 of positions (key, s0, s1): (6 - least) * 65536 + how many ways come that close, 0 if all are blocked. A way is four quadrants' parts, each with four forms of which the best counts."""
+    rows = p.select("key", "s0", "s1", F.explode(F.expr("cast(array(" + ",".join("array(" + ",".join("array(" + ",".join(f"{x}L" for x in part) + ")" for part in line) + ")" for line in masks) + ") as array<array<array<bigint>>>)")).alias("line"))
 
     def cost(us: str, them: str):
         part = lambda m: F.when(F.col(them).bitwiseAND(m) != 0, 6).otherwise(F.bit_count(m.bitwiseAND(F.bitwise_not(F.col(us)))))
@@ -115,6 +129,18 @@ CLOSENESS_ANY_TURNS = f"""WITH {t.positions("customer", "c_custkey")}, {_TURNED}
 SELECT key, x.close::BIGINT AS close0, y.close::BIGINT AS close1 FROM x JOIN y USING (key)"""
 
 
+_WAYS = ", ".join(f"({m}, {q})" for m in g.win_masks() for q in range(4) if m & g.LANE[q])
+_ONE_TURN = " UNION ALL ".join(f"SELECT key, {q} AS q, {t.moved('s0', g.quarter_turn(q, r))} AS a, {t.moved('s1', g.quarter_turn(q, r))} AS b FROM k" for q in range(4) for r in (0, 1, 3))
+
+
+def _one_turn_close(us: str, them: str) -> str:
+    return f"SELECT key, CASE WHEN min(d) = 6 THEN 0 ELSE (6 - min(d)) * 65536 + count(*) FILTER (d = low) END AS close FROM (SELECT *, min(d) OVER (PARTITION BY key) AS low FROM (SELECT key, mask, f.q, min(CASE WHEN ({them} & mask) <> 0 THEN 6 ELSE 5 - bit_count({us} & mask) END) AS d FROM f JOIN ways USING (q) GROUP BY key, mask, f.q)) GROUP BY key"
+
+
+CLOSENESS_ONE_TURN = f"""WITH {t.positions("customer", "c_custkey")}, k AS (SELECT DISTINCT key, s0, s1 FROM p), ways(mask, q) AS (VALUES {_WAYS}), f AS ({_ONE_TURN}),
+x AS ({_one_turn_close("a", "b")}), y AS ({_one_turn_close("b", "a")}) SELECT key, x.close::BIGINT AS close0, y.close::BIGINT AS close1 FROM x JOIN y USING (key)"""
+
+
 def or_accumulate(spark, sf_dir):
     """Bits that lines of an order contribute, merged by OR, AND and XOR: partial and final aggregation."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.call_function("shiftleft", b.lit(1), (F.col("l_partkey") % 62).cast("int")).alias("bit"))
@@ -215,6 +241,7 @@ QUERIES = {
     "stabilizer_counts": (stabilizer_counts, STABILIZER_COUNTS),
     "rotation_set_images": (rotation_set_images, ROTATION_SET_IMAGES),
     "closeness_any_turns": (closeness_any_turns, CLOSENESS_ANY_TURNS),
+    "closeness_one_turn": (closeness_one_turn, CLOSENESS_ONE_TURN),
     "or_accumulate": (or_accumulate, OR_ACCUMULATE),
     "retrograde_two": (retrograde_two, RETROGRADE_TWO),
     "retrograde_three": (retrograde_three, None),
