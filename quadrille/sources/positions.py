@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import io
 from functools import reduce
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.boards import lit, unfused, valid_board
+from ..functions.subsets import with_subset
 
 MULTIPLIER, PRIME = 2654435, 1000003
 
@@ -48,6 +50,18 @@ def endgames(df: DataFrame, key: str, empties: int) -> DataFrame:
     return full.select("key", bits(us).alias("us"), bits(them).alias("them"))
 
 
+def every_board(spark: SparkSession, stones: int) -> DataFrame:
+    """black, white: all boards of so many stones, the first side even or one ahead. A board is a number, out of which its cells and then the first side's among them are unranked; so any range of boards is made where it is needed."""
+    first = (stones + 1) // 2
+    rows = spark.range(comb(36, stones) * comb(stones, first))
+    rows = rows.select(F.call_function("div", F.col("id"), lit(comb(stones, first))).alias("of"), (F.col("id") % lit(comb(stones, first))).alias("which"))
+    rows = with_subset(with_subset(rows, "of", 36, stones, "cells"), "which", max(stones, 1), first, "mine")
+    held = lambda i: F.col("cells").bitwiseAND(lit(1 << i)) != 0
+    own = lambda i: F.call_function("shiftright", F.col("mine"), F.bit_count(F.col("cells").bitwiseAND(lit((1 << i) - 1)))).bitwiseAND(lit(1))
+    side = lambda k: reduce(lambda a, b: a + b, [F.when(held(i) & (own(i) == k), lit(1 << x)).otherwise(lit(0)) for i, x in enumerate(g.BITS)])
+    return rows.select(unfused(side(1)).alias("black"), side(0).alias("white"))
+
+
 def read_names(df: DataFrame, name: str) -> DataFrame:
     """name, board, middle, well_formed of position names: decimal digits, `m` behind them between a stone and its turn.
 

@@ -16,7 +16,7 @@ from quadrille.functions import symmetries as sy
 from quadrille.plans import packed as plan
 from quadrille.plans.retrograde import solve
 from quadrille.plans.tables import materialize
-from quadrille.sources.positions import endgames
+from quadrille.sources.positions import endgames, every_board
 
 
 def act(s, side):
@@ -155,3 +155,11 @@ def test_packed_endgame_of_turned_boards(spark):
 
 def words_of(r, name):
     return {i for i in range(256) if unsigned(r, name)[i // 64] >> i % 64 & 1}
+
+
+@pytest.mark.parametrize(("stones", "want"), [(0, (1, 1, 1)), (1, (36, 6, 3)), (3, (21420, 2715, 227)), (4, (353430, 44481, 2013))])
+def test_every_board_is_made_once(spark, stones, want):
+    """Boards as they stand, up to the square's symmetries, and up to turns of quadrants too."""
+    df = sy.with_witness(every_board(spark, stones), "black", "white", "mod2048", "symmetry")
+    df = df.select(b.pack(F.col("black"), F.col("white")).alias("mod1"), b.unfused(b.canonical(F.col("black"), F.col("white"))).alias("mod8"), "mod2048")
+    assert tuple(df.agg(*[F.count_distinct(c) for c in ("mod1", "mod8", "mod2048")]).first()) == want
