@@ -126,7 +126,8 @@ def repeated(docs: DataFrame, gram: int = 1, window: int = 3, alone: int = 5, id
     later = spots.join(first, ["key", "key2"]).where("NOT (doc_id = first.doc_id AND mark = first.mark AND start = first.start)")
     later = later.select("doc_id", "mark", "start", "size", F.col("first.doc_id").alias("of"), F.col("first.mark").alias("of_mark"), F.col("first.start").alias("at"))
     links = later.groupBy("doc_id", "mark", "of", "of_mark").agg(F.collect_set(F.struct("start", "at", "size")).alias("anchors"))  # bounded by the document's lines
-    one = lines.dropDuplicates(["doc_id", "mark"])
+    # Written too: every document with a hot line asks for the same holder's lines, and a plain exchange can be split there.
+    one = materialize(lines.select("doc_id", "mark", "lines", "places").dropDuplicates(["doc_id", "mark"]), "line-documents")
     both = links.join(one.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), F.col("lines").alias("a")), ["of", "of_mark"])
     both = both.join(one.select("doc_id", "mark", F.col("lines").alias("b"), "places"), ["doc_id", "mark"])
 

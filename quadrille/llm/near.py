@@ -21,7 +21,7 @@ a large group, and none is capped:
    link allows, and the bound is about half of the other's D. What many nodes add or lack comes last in the order, so
    texts that share a frequent passage, or are edited alike, meet only if they have more in common than that.
 4. A node within the similarity of L by its set of shingles but not by their order has no such bound. It is aligned with
-   all nodes that met L; `small` such nodes of each leader at a time.
+   all nodes that met L and whose size and |D| allow a link; `small` such nodes of each leader at a time.
 
 Shingles of texts that share a bucket are written once; a leader's travel once for every `run` nodes, the nodes' own once a pair.
 
@@ -183,7 +183,7 @@ def align(pairs: DataFrame, labels: DataFrame, least: float, run: int) -> DataFr
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
-    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "near-leaders")  # written: the join of a hot leader can be split
     dealt = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("node"), F.floor(F.col("n") / run) + 1).alias("part"), "node", "onward")
     heads = dealt.select("leader", "part").distinct().join(labels.withColumnRenamed("node", "leader"), "leader")
     rows = dealt.join(labels, "node").select("leader", "part", "node", "onward", "labels")
@@ -194,19 +194,17 @@ def align(pairs: DataFrame, labels: DataFrame, least: float, run: int) -> DataFr
 
 
 def candidates(buckets: DataFrame, small: int) -> DataFrame:
-    """Pairs (leader, node, onward) from rows (key, node).
+    """Pairs (leader, node, onward) from rows (key, node, n), n the size of the key's bucket.
 
     A bucket of up to `small` nodes gives its pairs, small - 1 a node at most. A larger one gives
     a pair for each node, with the one that shares most buckets; these go onward.
     """
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = buckets.join(sizes, "key")
-    lists = rows.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
+    lists = buckets.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     each = lists.select(F.inline(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter("all", lambda y, j: j > i), lambda y: F.struct(x.alias("leader"), y.alias("node")))))))
-    rows = rows.where(F.col("n") > small)
+    rows = buckets.where(F.col("n") > small)
     weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
     rows = rows.join(weight, "node")
-    first = rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("back"))).alias("top"))
+    first = materialize(rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("back"))).alias("top")), "near-tops")
     star = rows.join(first, "key").where("node <> -top.back").select((-F.col("top.back")).alias("leader"), "node")
     both = each.withColumn("onward", F.lit(False)).unionByName(star.withColumn("onward", F.lit(True)))
     return both.groupBy("leader", "node").agg(F.max("onward").alias("onward"))
@@ -222,7 +220,7 @@ def unsettled(aligned: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of `align` that met a large bucket's leader, with comp and out (of the leader's component), where that leader has a node out."""
     rows = with_comp(with_comp(aligned.where("onward"), comps, "node", "comp"), comps, "leader", "of_leader")
     rows = rows.withColumn("out", F.col("comp") != F.col("of_leader")).drop("of_leader")
-    return rows.join(rows.where("out").select("leader").distinct(), "leader", "left_semi")
+    return rows.join(materialize(rows.where("out").select("leader").distinct(), "near-open"), "leader", "left_semi")
 
 
 def by_difference(rows: DataFrame, least: float) -> DataFrame:
@@ -262,12 +260,13 @@ def components(links: DataFrame) -> DataFrame:
 def classed(docs: DataFrame, least: float, sketches: int, length: int, small: int, run: int, id_col: str, text_col: str) -> DataFrame:
     """One row per input row with an id: doc_id, mark, class_id, class_size, kept."""
     found = materialize(sketch(docs, sketches, length, id_col, text_col), "near-sketches")
-    copies = found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    # Written, so that both sides of the join have plain exchanges and adaptive execution splits a digest or class with very many rows.
+    copies = materialize(found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "near-copies")
     member = materialize(found.join(copies, "digest").select("row", "doc_id", "mark", "node", "first_id", "n", "size", "keys"), "near-members")
     nodes = member.where("row = node")
     rows = nodes.where("size > 0").select("node", F.explode("keys").alias("key"))  # a key holds its order's number
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = materialize(rows.join(shared, "key").select("key", "node"), "near-buckets")
+    shared = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-shared")
+    buckets = materialize(rows.join(shared, "key").select("key", "node", "n"), "near-buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"))
     texts = marked(docs, id_col, text_col)
     labels = materialize(shingles(texts.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("mark") == F.col("w_mark")))), "near-shingles")
@@ -278,18 +277,19 @@ def classed(docs: DataFrame, least: float, sketches: int, length: int, small: in
     rows = materialize(unsettled(first, comps), "near-unsettled")
     closer = materialize(by_difference(rows, least).withColumn("onward", F.lit(False)), "near-pairs")
     all_links = links(first).unionByName(links(materialize(align(closer, labels, least, run), "near-aligned")))
-    moved = rows.where("moved AND out").select("leader", "node", "comp").distinct()
+    moved = rows.where("moved AND out").select("leader", "node", "comp", "size", F.size("apart").alias("count")).distinct()
     moved = materialize(moved.withColumn("turn", F.floor((F.row_number().over(Window.partitionBy("leader").orderBy("node")) - 1) / small)), "near-moved")
+    # What two nodes differ in from L is apart by what they differ in at most, and linked nodes' sizes are within the similarity.
+    within = (F.least("size", "s") >= F.greatest("size", "s") * least - 1e-6) & (F.abs(F.col("d") - F.col("count")) <= (F.col("size") + F.col("s")) * ((1 - least) / (1 + least)) + 1e-6)
     for turn in range((moved.agg(F.max("turn")).first()[0] or 0) + 1 if not moved.isEmpty() else 0):
-        to = rows.select(F.col("leader").alias("l"), F.col("node").alias("n"), F.col("comp").alias("c"))
-        pairs = moved.where(F.col("turn") == turn).join(to, F.expr("leader = l AND comp <> c")).select(F.col("node").alias("leader"), F.col("n").alias("node"), F.lit(False).alias("onward")).distinct()
+        to = rows.select(F.col("leader").alias("l"), F.col("node").alias("n"), F.col("comp").alias("c"), F.col("size").alias("s"), F.size("apart").alias("d"))
+        pairs = moved.where(F.col("turn") == turn).join(to, F.expr("leader = l AND comp <> c") & within).select(F.col("node").alias("leader"), F.col("n").alias("node"), F.lit(False).alias("onward")).distinct()
         all_links = all_links.unionByName(links(materialize(align(materialize(pairs, "near-pairs"), labels, least, run), "near-aligned")))
     comps = components(all_links)
 
     of = with_comp(nodes.select("node", "first_id", "n"), comps, "node", "comp")
-    per = of.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    first = of.join(per, "comp").where("first_id = class_id").groupBy("comp").agg(F.min("node").alias("first_node"))
-    per = of.select("node", "comp").join(per, "comp").join(first, "comp").withColumnRenamed("node", "of")
+    per = materialize(of.groupBy("comp").agg(F.min(F.struct("first_id", "node")).alias("top"), F.sum("n").alias("class_size")), "near-classes")
+    per = of.select(F.col("node").alias("of"), "comp").join(per, "comp").select("of", F.col("top.first_id").alias("class_id"), F.col("top.node").alias("first_node"), "class_size")
     return member.join(per, F.col("node") == F.col("of")).select("doc_id", "mark", "class_id", "class_size", ((F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("first_node"))).alias("kept"))
 
 
