@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import boards, games, shuffles, symmetry, tables
+from .queries import boards, games, outcomes, shuffles, symmetry, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {**boards.QUERIES, **games.QUERIES, **shuffles.QUERIES, **symmetry.QUERIES, **tables.QUERIES}
+_ALL = {**boards.QUERIES, **games.QUERIES, **outcomes.QUERIES, **shuffles.QUERIES, **symmetry.QUERIES, **tables.QUERIES}
 
 
 def queries() -> dict[str, Query]:

@@ -179,3 +179,26 @@ def table_text(board: Column) -> Column:
     for b in g.BITS:
         digits.append((F.call_function("div", quadrant(board, b // 16), lit(3 ** (b % 16))) % 3).cast("string"))
     return F.concat(*digits)
+
+
+def read_table_text(text: Column) -> Column:
+    """The board of 36 digits as `table_text` writes them; null for any other text."""
+    digit = lambda b: F.substring(text, g.BITS.index(b) + 1, 1).try_cast("long")
+    lanes = [reduce(lambda a, c: a + c, [digit(16 * q + i) * 3**i for i in range(9)]) for q in range(g.QUADRANTS)]
+    return F.when(text.rlike("^[012]{36}$") & ~text.contains("\n"), quadrants(lanes))
+
+
+def picture(text: Column) -> Column:
+    """The board of `table_text` as lines of text: stones counted, rows from the top, columns numbered."""
+    count = lambda d: F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))
+    rows = [F.concat(F.lit(f"{name}  "), *[F.substring(text, 6 * x + 6 - i, 1) for x in range(g.SIZE)]) for i, name in enumerate("abcdef")]
+    head = F.concat(F.lit("counts: 0s = "), count("1").cast("string"), F.lit(", 1s = "), count("2").cast("string"))
+    # Only the signs of cells are digits in a row.
+    return F.concat(head, F.lit("\n\n"), F.translate(F.concat_ws("\n", *rows), "012", "_01"), F.lit("\n\n   123456"))
+
+
+def fives(side: Column) -> Column:
+    """The lines of five that a side holds, as an array of (line, cells), in the order of their masks."""
+    cells = lambda m: ",".join(f"{x}{y}" for x, y in g.CELLS if m >> g.bit_of(x, y) & 1)
+    lines = F.array(*[F.struct(lit(m).alias("line"), F.lit(cells(m)).alias("cells")) for m in g.win_masks()])
+    return F.filter(lines, lambda x: side.bitwiseAND(x["line"]) == x["line"])
