@@ -197,7 +197,10 @@ PLACEMENTS_SUMMARY = f"WITH {P}, {_CELLS} SELECT key, count(*) AS moves, sum({t.
 
 def moves_summary(spark, sf_dir):
     """Each position's full moves, stone and turn: how many, how many different boards, a checksum, and how many leave a five."""
-    return moves.summary(_positions(spark, sf_dir), "s0", "s1").drop("s0", "s1")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a row is a few bytes and much work, so keys are spread however the file is cut
+    keys = table(spark, sf_dir, "orders").select("o_orderkey").repartition(parts, "o_orderkey").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("times"))
+    each = moves.summary(positions(keys, "o_orderkey", "times"), "s0", "s1")
+    return each.select("key", (F.col("moves") * F.col("times")).alias("moves"), "boards", F.when(F.col("times") % 2 == 1, F.col("checksum")).otherwise(b.lit(0)).alias("checksum"), (F.col("over") * F.col("times")).alias("over"))
 
 
 _MOVES = "m AS (" + " UNION ALL ".join(f"SELECT key, {t.moved('(s0 | cell)', r)} AS a, {t.moved('s1', r)} AS b FROM c" for r in g.rotations()) + ")"

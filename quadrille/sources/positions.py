@@ -28,12 +28,12 @@ def cell_hash(key: Column, i: int) -> Column:
     return (key % lit(PRIME)) * lit((2 * i + 1) * MULTIPLIER % PRIME) % lit(PRIME)
 
 
-def positions(df: DataFrame, key: str) -> DataFrame:
-    """key, s0, s1 for each row: every cell empty, first or second side by its hash modulo 3. Stone counts need not be legal."""
+def positions(df: DataFrame, key: str, *keep: str) -> DataFrame:
+    """key, s0, s1 and the columns to keep for each row: every cell empty, first or second side by its hash modulo 3. Stone counts need not be legal."""
     k = F.col(key).cast("long")
-    hashed = df.select(unfused(k).alias("key"), *[(cell_hash(k, i) % 3).alias(f"c{i}") for i in range(36)])
+    hashed = df.select(unfused(k).alias("key"), *keep, *[(cell_hash(k, i) % 3).alias(f"c{i}") for i in range(36)])
     side = lambda s: reduce(lambda a, b: a + b, [F.when(F.col(f"c{i}") == s, lit(1 << b)).otherwise(lit(0)) for i, b in enumerate(g.BITS)])
-    return hashed.select("key", unfused(side(1)).alias("s0"), side(2).alias("s1"))
+    return hashed.select(unfused(F.col("key")).alias("key"), side(1).alias("s0"), side(2).alias("s1"), *keep)  # what is under a lambda is not compiled
 
 
 def endgames(df: DataFrame, key: str, empties: int) -> DataFrame:
