@@ -26,9 +26,14 @@ def unfused(c: Column) -> Column:
     return F.get(F.transform(F.array(c), lambda x: x), F.lit(0))
 
 
+def entry(table: list[int], at: Column) -> Column:
+    """table[at], null outside of it. The table is one literal in the plan, so an expression stays small however often it looks up."""
+    return F.get(F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)"), at)
+
+
 def looked_up(table: list[int], at: Column) -> Column:
-    """table[at]. The table is one literal in the plan, so an expression stays small however often it looks up."""
-    return F.coalesce(F.get(F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)"), at), lit(0))
+    """As `entry`, but 0 in place of null."""
+    return F.coalesce(entry(table, at), lit(0))
 
 
 def lane(side: Column, q: int) -> Column:

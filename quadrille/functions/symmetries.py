@@ -3,16 +3,18 @@
 Symmetry 256 * s + t turns each quadrant q in place by the base-4 digit q of t (quarter turns,
 counter-clockwise), then moves the whole board by symmetry s of the square: s = 4 * mirrored + turns, mirrored
 first. They are a group: local turns can be carried through a symmetry of the square, where they go with
-their quadrants and are turned round by a mirror.
+their quadrants and are turned round by a mirror. Products and inverses are looked up in tables made from that rule.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry as g
-from .boards import any_of, lane, lit, looked_up, moved, pack, quadrant, quadrants, unfused
+from .boards import any_of, entry, lane, lit, looked_up, moved, pack, quadrant, quadrants, unfused
 
 COUNT = 2048
 
@@ -25,14 +27,6 @@ def local(s: Column) -> Column:
     return s.bitwiseAND(lit(255))
 
 
-def mirrored(s: Column) -> Column:
-    return F.shiftright(s, 10)
-
-
-def turns(s: Column) -> Column:
-    return F.shiftright(s, 8).bitwiseAND(lit(3))
-
-
 def digit(t: Column, q: int) -> Column:
     return F.shiftright(t, 2 * q).bitwiseAND(lit(3))
 
@@ -41,41 +35,55 @@ def from_digits(digits: list[Column]) -> Column:
     return any_of([F.shiftleft(d.bitwiseAND(lit(3)), 2 * q) for q, d in enumerate(digits)])
 
 
-def _targets(p: int) -> list[int]:
-    """For each symmetry of the square, where quadrant p goes."""
-    return [m[16 * p + 4] // 16 for m in g.square_symmetries()]
+@lru_cache
+def _carried() -> list[int]:
+    """For each symmetry s of the square and local turns t, at 256 * s + t, the local turns u so that turning by t after s is s after turning by u."""
+    out = []
+    for s, m in enumerate(g.square_symmetries()):
+        place = [m[16 * p + 4] // 16 for p in range(g.QUADRANTS)]
+        turn = -1 if s >> 2 else 1
+        out += [sum((turn * (t >> 2 * place[p]) & 3) << 2 * p for p in range(g.QUADRANTS)) for t in range(256)]
+    return out
 
 
-def carried(s: Column, t: Column) -> Column:
-    """Local turns u so that turning by t after the square part of s is the square part of s after turning by u."""
-    out = []
-    for p in range(g.QUADRANTS):
-        d = F.call_function("shiftright", t, (looked_up(_targets(p), square(s)) * 2).cast("int")).bitwiseAND(lit(3))
-        out.append(F.when(mirrored(s) == 1, lit(4) - d).otherwise(d))
-    return from_digits(out)
+@lru_cache
+def _squares() -> list[int]:
+    """For symmetries a, b of the square, at 8 * a + b, the number of b, then a."""
+    every = g.square_symmetries()
+    return [every.index({x: a[y] for x, y in b.items()}) for a in every for b in every]
+
+
+def _undone(s: int) -> int:
+    """The number of the symmetry that undoes s."""
+    back = _squares()[8 * (s >> 8) : 8 * (s >> 8) + 8].index(0)
+    u = _carried()[256 * back + (s & 255)]
+    return 256 * back + sum((-(u >> 2 * q) & 3) << 2 * q for q in range(g.QUADRANTS))
 
 
-def _square_product(a: Column, b: Column) -> Column:
-    """Number of the symmetry of the square that is b, then a."""
-    turned = turns(a) + F.when(mirrored(a) == 1, lit(4) - turns(b)).otherwise(turns(b))
-    return F.shiftleft(mirrored(a).bitwiseXOR(mirrored(b)), 2).bitwiseOR(turned.bitwiseAND(lit(3)))
+@lru_cache
+def _inverses() -> list[int]:
+    return [_undone(s) for s in range(COUNT)]
+
+
+def carried(s: Column, t: Column) -> Column:
+    """Local turns u so that turning by t after the square part of s is the square part of s after turning by u."""
+    return entry(_carried(), F.shiftleft(square(s), 8).bitwiseOR(t))
 
 
 def with_product(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Adds the number of the symmetry that is b, then a."""
     x, y = F.col(a), F.col(b)
     rows = df.select("*", carried(y, local(x)).alias("__c"))
-    added = from_digits([digit(F.col("__c"), q) + digit(local(y), q) for q in range(g.QUADRANTS)])
-    return rows.select(*df.columns, F.shiftleft(_square_product(x, y), 8).bitwiseOR(added).alias(name))
+    u, v = F.col("__c"), local(y)
+    # Four sums modulo 4 at once: low bits carry into high ones, whose own carry is left out.
+    added = (u.bitwiseAND(lit(0x55)) + v.bitwiseAND(lit(0x55))).bitwiseXOR(u.bitwiseXOR(v).bitwiseAND(lit(0xAA)))
+    whole = entry(_squares(), F.shiftleft(square(x), 3).bitwiseOR(square(y)))
+    return rows.select(*df.columns, F.shiftleft(whole, 8).bitwiseOR(added).alias(name))
 
 
 def with_inverse(df: DataFrame, a: str, name: str) -> DataFrame:
     """Adds the number of the symmetry that undoes a."""
-    x = F.col(a)
-    back = F.when(mirrored(x) == 1, square(x)).otherwise((lit(4) - turns(x)).bitwiseAND(lit(3)))
-    rows = df.select("*", F.shiftleft(back, 8).alias("__b"))
-    rows = rows.select("*", carried(F.col("__b"), local(x)).alias("__c"))
-    return rows.select(*df.columns, F.col("__b").bitwiseOR(from_digits([lit(4) - digit(F.col("__c"), q) for q in range(g.QUADRANTS)])).alias(name))
+    return df.select("*", entry(_inverses(), F.col(a)).alias(name))
 
 
 def with_moved(df: DataFrame, side: str, symmetry: str, name: str) -> DataFrame:
